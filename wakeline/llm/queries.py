@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import apportion, exact, sentencepiece_table
+from wakeline.llm import apportion, exact, ngram_join, sentencepiece_table, toxicity
 from wakeline.llm.common import table
 
 
@@ -12,6 +12,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,7 +29,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_digests(table(spark, sf_dir, "documents"), sentencepiece_table.public_model())
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_sainte_lague_mix, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op10_sentencepiece)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
