@@ -64,7 +64,7 @@ class Shingler:
         np.cumprod(self.powers, out=self.powers)
         np.cumprod(self.inverse, out=self.inverse)
         self.values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-        self.factors = [np.uint64(base * (2 * k + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1 | 1) for k in range(words)]
+        self.factors = mixed(np.arange(1001, 1001 + words, dtype=np.uint64) * np.uint64(base)) | np.uint64(1)
 
     def word_hashes(self, text: bytes) -> np.ndarray:
         import xxhash
