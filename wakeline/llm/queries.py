@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import apportion, exact, ngram_join, sentencepiece_table, toxicity
+from wakeline.llm import apportion, exact, ngram_join, secrets, sentencepiece_table, toxicity
 from wakeline.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
@@ -29,9 +33,32 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_digests(table(spark, sf_dir, "documents"), sentencepiece_table.public_model())
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op10_sentencepiece)}
+
+
+
+def _secrets_sql(rules: tuple[secrets.Rule, ...] = secrets.RULES) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS number, {quoted(r.kind)} AS kind, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS p, regexp_extract_all(t, {quoted(r.pattern)}) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g FROM d"
+        for i, r in enumerate(rules)
+    )
+    base = [i for i, r in enumerate(rules) if r.base]
+    text = "string_agg(kind || ':' || b || ':' || (b + n), ',' ORDER BY b, number)"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({found}),
+        x AS (SELECT doc_id, number, kind, least, p, m, g, unnest(range(1, len(m) + 1)) AS i FROM f),
+        y AS (SELECT doc_id, number, kind, length(m[i]) AS n, list_sum(list_transform(p[1:i], lambda s: length(s)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0)::BIGINT AS b FROM x WHERE length(g[i]) >= least),
+        z AS (SELECT doc_id, {", ".join(f"count(*) FILTER (number = {i}) AS n_{rules[i].kind}" for i in base)},
+                     coalesce({text} FILTER (number IN ({", ".join(map(str, base))})), '') AS base, {text} AS spans FROM y GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{rules[i].kind}, 0) AS n_{rules[i].kind}" for i in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN z USING (doc_id)
+    """
+
 
 ORACLES = {
+    "op1_secret_scan": _secrets_sql(),
     "op3_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
