@@ -178,10 +178,10 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["0"])
-        end = start + F.coalesce(F.char_length(x["1"]), F.lit(0))
+        start = acc["at"] + F.char_length(x["piece"])
+        end = start + F.coalesce(F.char_length(x["match"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"))
-        ok = x["1"].isNotNull() & (F.char_length(x["2"]) >= rule.least)
+        ok = x["match"].isNotNull() & (F.char_length(x["held"]) >= rule.least)
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
