@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import apportion, exact, ngram_join, secrets, sentencepiece_table, toxicity
+from wakeline.llm import apportion, exact, ngram_join, secrets, sentencepiece_table, toxicity, warc
 from wakeline.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,7 +37,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_digests(table(spark, sf_dir, "documents"), sentencepiece_table.public_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_arc_to_warc, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op10_sentencepiece)}
 
 
 
@@ -69,4 +73,12 @@ ORACLES = {
             SELECT sha, first(doc_id ORDER BY points DESC, doc_id) AS keep_id, count(*) AS group_size
             FROM d GROUP BY sha) k USING (sha)
     """,
+    "op4_arc_to_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
+        FROM q
+    """,
 }

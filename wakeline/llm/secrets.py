@@ -150,6 +150,10 @@ def index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col
     return postings.groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
 
 
+def _named(ids: Column, kind: str) -> Column:
+    return F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(kind).alias("kind")))
+
+
 def candidates(postings: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """id, kinds: the rules whose query a document meets, by set operations on each block's lists."""
     kind = dict(postings.dtypes)["ids"]
@@ -159,7 +163,7 @@ def candidates(postings: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     found = []
     for rule in rules:
         clauses = [reduce(F.array_union, [reduce(F.array_intersect, map(of, a)) for a in clause]) for clause in query(rule.pattern)]
-        found.append(F.transform(reduce(F.array_intersect, clauses), lambda i, k=rule.kind: F.struct(i.alias("id"), F.lit(k).alias("kind"))))
+        found.append(_named(reduce(F.array_intersect, clauses), rule.kind))
     hits = lists.select(F.explode(F.flatten(F.array(*found))).alias("hit")).select("hit.*")
     return hits.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
@@ -215,6 +219,7 @@ def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_<kind> of the base kinds, base_sha256, spans."""
     base = [i for i, r in enumerate(rules) if r.base]
-    counts = [F.size(F.filter("found", lambda s, i=i: s["number"] == i)).cast("long").alias(f"n_{rules[i].kind}") for i in base]
+    count = lambda i: F.size(F.filter("found", lambda s: s["number"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{rules[i].kind}") for i in base]
     own = F.filter("found", lambda s: s["number"].isin(base))
     return scan(docs, rules, id_col, text_col).select(id_col, *counts, F.sha2(written(own, rules), 256).alias("base_sha256"), written(F.col("found"), rules).alias("spans"))
