@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wakeline.llm import apportion, exact, ngram_join, secrets, sentencepiece_table, toxicity, warc
+from wakeline.llm import apportion, exact, kmeans_tree, ngram_join, preferences, secrets, sentencepiece_table, toxicity, warc
 from wakeline.llm.common import table
 
 
@@ -12,6 +13,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 i and 2 i + 1 are the chosen and the rejected one of pair i."""
+    turns = table(spark, sf_dir, "conversations")
+    return preferences.format_pairs(turns, F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +44,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_digests(table(spark, sf_dir, "documents"), sentencepiece_table.public_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_arc_to_warc, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op10_sentencepiece)}
+def op9_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return kmeans_tree.search(rows, rows.where("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_preference_pairs, op3_exact_dedup, op4_arc_to_warc, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op9_kmeans_tree_search, op10_sentencepiece)}
 
 
 
@@ -81,4 +93,18 @@ ORACLES = {
                CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
         FROM q
     """,
+    "op2_preference_pairs": r"""
+        WITH r AS (
+            SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        g AS (SELECT pair_id, chosen, turn, list((role, text) ORDER BY role, text) AS said FROM r GROUP BY ALL),
+        b AS (SELECT pair_id, turn, c.said AS c, d.said AS d
+              FROM (FROM g WHERE chosen) c FULL JOIN (FROM g WHERE NOT chosen) d USING (pair_id, turn)),
+        e AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM d) AS first_other FROM b GROUP BY pair_id),
+        o AS (SELECT r.*, row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role, text) - 1 AS place,
+                     first_other IS NULL OR turn < first_other AS shared FROM r JOIN e USING (pair_id))
+        SELECT pair_id, CASE WHEN shared THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn, place::INTEGER AS place, role,
+               '<|' || role || E'|>\n' || text || E'<|end|>\n' AS rendered, NOT shared AND role = 'assistant' AS in_loss
+        FROM o WHERE chosen OR NOT shared
+    """,
 }
