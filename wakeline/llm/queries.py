@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import apportion, exact, kmeans_tree, ngram_join, preferences, secrets, sentencepiece_table, toxicity, warc
+from wakeline.llm import apportion, exact, kmeans_tree, ngram_join, preferences, secrets, sentencepiece_table, toxicity, warc, weak_labels
 from wakeline.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.score(table(spark, sf_dir, "documents"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +53,7 @@ def op9_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(rows, rows.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_preference_pairs, op3_exact_dedup, op4_arc_to_warc, op5_toxicity, op6_ngram_jaccard_join, op8_sainte_lague_mix, op9_kmeans_tree_search, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_preference_pairs, op3_exact_dedup, op4_arc_to_warc, op5_toxicity, op6_ngram_jaccard_join, op7_weak_label_quality, op8_sainte_lague_mix, op9_kmeans_tree_search, op10_sentencepiece)}
 
 
 

@@ -172,7 +172,10 @@ def held_out(id_col: str) -> Column:
 
 
 def cover(rows: list[tuple[int, list[int]]], terms: list[str], least: int = 3) -> dict[str, float]:
-    """Terms that together explain the toxic rows, with log odds; each must explain ``least`` more toxic rows."""
+    """Terms that together explain the toxic rows, with log odds; each must explain ``least`` more toxic rows.
+
+    Fixed insult words with such odds stay too, though others explain their rows.
+    """
     toxic = [{t for t in own} for label, own in rows if label]
     clean = Counter(t for label, own in rows if not label for t in own)
     all_toxic = Counter(t for own in toxic for t in own)
@@ -185,7 +188,7 @@ def cover(rows: list[tuple[int, list[int]]], terms: list[str], least: int = 3) -
         # of terms that explain as many rows, the longest one
         best = max(gain, key=lambda t: (gain[t] - clean[t], len(terms[t]), terms[t]), default=None)
         if best is None or gain[best] - clean[best] < least:
-            return chosen
+            return {terms[t]: max(0.5, odds[t]) for t in sorted(ok) if terms[t] in INSULTS} | chosen
         chosen[terms[best]] = max(0.5, odds[best])
         toxic = [own for own in toxic if best not in own]
 
