@@ -88,7 +88,7 @@ class BoundaryRegistry:
         return F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<dataset:string,region:string>>")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(d.name, i, r.name, r.west, r.south, r.east, r.north) for d in self._datasets.values() for i, r in enumerate(d.regions)]
+        rows = [(d.name, i, r.name, *map(float, (r.west, r.south, r.east, r.north))) for d in self._datasets.values() for i, r in enumerate(d.regions)]
         return spark.createDataFrame(rows, "dataset string, ord int, region string, west double, south double, east double, north double")
 
     def label(self, positions: DataFrame, dataset: str, name: str = "region") -> DataFrame:
