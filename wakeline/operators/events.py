@@ -151,8 +151,8 @@ def encounter_observations(positions: DataFrame, config: EncounterConfig | None
     """Pairs of observations of two vessels that are near in time and space.
 
     Rows meet by time bucket and latitude cell, both as equality keys: the
-    right side takes the neighbouring buckets and cells, so each pair meets
-    once.  The cell is sound, as the difference in latitude alone never exceeds
+    left side takes the neighbouring buckets, the right one the neighbouring
+    cells, so each pair meets once.  The cell is sound, as the difference in latitude alone never exceeds
     the distance; it keeps busy hours from pairing a whole ocean.
     """
     config = config or EncounterConfig()
@@ -161,8 +161,8 @@ def encounter_observations(positions: DataFrame, config: EncounterConfig | None
     rows = rows.select("mmsi", "timestamp", "lat", "lon", "source", bucket(micros(F.col("timestamp")), config.time_bucket_s * 1_000_000).alias("bucket"), cell.alias("cell"))
     rows = rows.dropDuplicates(["mmsi", "timestamp", "lat", "lon", "source"])
     near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    left = rows.select("bucket", "cell", *[F.col(c).alias(f"{c}_a") for c in ("mmsi", "timestamp", "lat", "lon", "source")])
-    right = rows.withColumn("bucket", near("bucket")).withColumn("cell", near("cell")).select("bucket", "cell", *[F.col(c).alias(f"{c}_b") for c in ("mmsi", "timestamp", "lat", "lon")])
+    left = rows.withColumn("bucket", near("bucket")).select("bucket", "cell", *[F.col(c).alias(f"{c}_a") for c in ("mmsi", "timestamp", "lat", "lon", "source")])
+    right = rows.withColumn("cell", near("cell")).select("bucket", "cell", *[F.col(c).alias(f"{c}_b") for c in ("mmsi", "timestamp", "lat", "lon")])
     metres = distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), (F.col("lat_a") + F.col("lat_b")) / 2)
     pairs = left.join(right, ["bucket", "cell"]).where(F.col("mmsi_a") < F.col("mmsi_b")).withColumn("metres", metres).where(F.col("metres") <= config.max_distance_m)
     # rows that share vessel and time stand for one observation: the first by position

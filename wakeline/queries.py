@@ -360,3 +360,213 @@ def qc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nav_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 17 IN (0, 1, 5, 7, 11, 12, 13, 15, 16)")
     return rows.select("event_id", nav_status(F.col("event_id") % 17).alias("nav_status"))
+
+
+# --- feeds: the table seen as raw messages, read back by each source's rules
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_HEADING = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 360)::DOUBLE END"
+
+
+@_query(f"""
+    SELECT event_id::VARCHAR AS source_file, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 200000000 + user_id END AS mmsi, CASE WHEN event_id % 7 = 0 THEN NULL ELSE epoch_us(date_trunc('second', ts)) END AS timestamp,
+           value AS sog, {_HEADING} AS heading, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'IMO' || event_id END AS imo, CASE event_id % 4 WHEN 0 THEN 'Under way using engine' WHEN 1 THEN 'At anchor' END AS nav_status, nullif(trim(event_type), '') AS vessel_name
+    FROM events
+""")
+def feed_noaa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.sources import noaa
+
+    text = {c: F.lit(None).cast("string") for c in noaa.COLUMNS.values()}
+    text |= {
+        "source_file": F.col("event_id").cast("string"), "mmsi": F.when(F.col("event_id") % 11 == 0, "x").otherwise((F.col("user_id") + 200000000).cast("string")),
+        "timestamp": F.when(F.col("event_id") % 7 == 0, "never").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), "sog": F.col("value").cast("string"),
+        "heading": F.when(F.col("event_id") % 5 == 0, "511.0").otherwise((F.col("event_id") % 360).cast("string")), "imo": F.when(F.col("event_id") % 3 == 0, "IMO0000000").otherwise(F.concat(F.lit("IMO"), "event_id")),
+        "nav_status": F.element_at(F.array(F.lit("0"), F.lit("1"), F.lit("12"), F.lit("99")), (F.col("event_id") % 4 + 1).cast("int")), "vessel_name": F.concat(F.lit(" "), "event_type", F.lit(" ")),
+    }
+    out = noaa.normalize(_raw(spark, sf_dir).select([v.alias(k) for k, v in text.items()]))
+    return _flat(out.select("source_file", "mmsi", "timestamp", "sog", "heading", "imo", "nav_status", "vessel_name"))
+
+
+@_query(f"""
+    SELECT event_id::VARCHAR AS source_file, 200000000 + user_id AS mmsi, epoch_us(date_trunc('second', ts)) AS timestamp, {_HEADING} AS heading,
+           CASE event_id % 4 WHEN 3 THEN 'IMO' || event_id END AS imo, event_type AS ship_type FROM events WHERE ts::DATE = DATE '2024-01-10'
+""")
+def feed_dma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import date
+
+    from wakeline.sources import dma
+
+    text = {c: F.lit(None).cast("string") for c in dma.COLUMNS.values()}
+    text |= {
+        "source_file": F.col("event_id").cast("string"), "mmsi": (F.col("user_id") + 200000000).cast("string"), "timestamp": F.date_format("ts", "dd/MM/yyyy HH:mm:ss"),
+        "heading": F.when(F.col("event_id") % 5 == 0, "511").otherwise((F.col("event_id") % 360).cast("string")),
+        "imo": F.element_at(F.array(F.lit("0"), F.lit(""), F.lit("Unknown"), F.concat(F.lit("IMO"), F.col("event_id"))), (F.col("event_id") % 4 + 1).cast("int")), "ship_type": F.col("event_type"),
+    }
+    out = dma.normalize(_raw(spark, sf_dir).select([v.alias(k) for k, v in text.items()]), date(2024, 1, 10))
+    return _flat(out.select("source_file", "mmsi", "timestamp", "heading", "imo", "ship_type"))
+
+
+@_query(f"""
+    SELECT event_id::VARCHAR AS source_file, 200000000 + user_id AS mmsi, epoch_us(date_trunc('second', ts)) AS timestamp, {_HEADING} AS heading, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 50 + event_id % 70)::DOUBLE END AS length, event_type AS vessel_name
+    FROM events
+""")
+def feed_aishub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.sources import aishub
+
+    item = F.struct(
+        (F.col("user_id") + 200000000).alias("MMSI"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" GMT")).alias("TIME"), F.when(F.col("event_id") % 5 == 0, 511).otherwise(F.col("event_id") % 360).alias("HEADING"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("A"), (F.col("event_id") % 70).alias("B"), F.concat("event_type", F.lit(" ")).alias("NAME"),
+    )
+    document = F.concat(F.lit('[{"ERROR":false},['), F.to_json(item), F.lit("]]"))
+    raw = _raw(spark, sf_dir).select(F.col("event_id").cast("string").alias("source_file"), F.explode(aishub.records(document)).alias("r"))
+    return _flat(aishub.normalize(raw).select("source_file", "mmsi", "timestamp", "heading", "length", "vessel_name"))
+
+
+@_query("""
+    SELECT event_id::VARCHAR AS event_id, CASE event_type WHEN 'click' THEN 'fishing' WHEN 'purchase' THEN 'port_call' WHEN 'view' THEN 'encounter' ELSE 'loitering' END AS event_type, 200000000 + user_id AS mmsi,
+           CASE WHEN event_id % 2 = 0 THEN 300000000 + user_id END AS other_mmsi, epoch_us(date_trunc('second', ts)) AS start_time, epoch_us(date_trunc('second', ts)) + 3600000000 AS end_time, 1.0::DOUBLE AS confidence_score, 'gfw:events_api' AS record_provenance
+    FROM events WHERE event_id % 9 <> 0 AND event_id % 10 <> 0
+""")
+def feed_gfw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.sources import gfw
+
+    kind = F.when(F.col("event_type") == "click", "fishing").when(F.col("event_type") == "purchase", "PORT_VISIT").when(F.col("event_type") == "view", "ENCOUNTER").otherwise("LOITERING")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
+    ssvid = lambda base: (F.col("user_id") + base).cast("string")
+    raw = _raw(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 9 == 0, "GAP").otherwise(kind).alias("type"), iso("ts").alias("start"), F.when(F.col("event_id") % 10 != 0, iso(F.col("ts") + F.expr("INTERVAL 1 HOUR"))).alias("end"),
+        F.struct(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")).alias("position"), F.struct(ssvid(200000000).alias("ssvid")).alias("vessel"), F.struct(F.struct(F.when(F.col("event_id") % 2 == 0, ssvid(300000000)).alias("ssvid")).alias("vessel")).alias("encounter"),
+    )
+    out = gfw.events(raw).select("event_id", "event_type", "mmsi", "other_mmsi", "start_time", "end_time", "confidence_score", "record_provenance")
+    return _flat(out)
+
+
+@_query(f"SELECT 200000000 + user_id AS mmsi, epoch_us(date_trunc('second', ts)) AS timestamp, value AS sog, {_HEADING} AS heading, CASE event_id % 3 WHEN 0 THEN 'Under way using engine' WHEN 1 THEN 'At anchor' ELSE 'Not under command' END AS nav_status, event_type AS vessel_name FROM events WHERE event_id % 6 <> 0")
+def feed_aisstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.sources import aisstream
+
+    meta = F.struct((F.col("user_id") + 200000000).alias("MMSI"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000 UTC")).alias("time_utc"), F.concat("event_type", F.lit("  ")).alias("ShipName"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    report = F.struct(F.col("value").alias("Sog"), F.lit(1.0).alias("Cog"), F.when(F.col("event_id") % 5 == 0, 511.0).otherwise((F.col("event_id") % 360).cast("double")).alias("TrueHeading"), (F.col("event_id") % 3).alias("NavigationalStatus"))
+    raw = _raw(spark, sf_dir).select(F.to_json(F.struct(F.when(F.col("event_id") % 6 == 0, "StaticDataReport").otherwise("PositionReport").alias("MessageType"), meta.alias("MetaData"), F.struct(report.alias("PositionReport")).alias("Message"))).alias("value"))
+    return _flat(aisstream.normalize(raw).select("mmsi", "timestamp", "sog", "heading", "nav_status", "vessel_name"))
+
+
+@_query(f"""
+    SELECT 200000000 + user_id AS mmsi, epoch_us(date_trunc('second', ts)) AS timestamp, 'location' AS kind, {_HEADING} AS heading, NULL::DOUBLE AS draught FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT 200000000 + user_id, epoch_us(date_trunc('second', ts)), 'metadata', NULL, (event_id % 200) / 10.0::DOUBLE FROM events WHERE event_id % 2 = 1
+""")
+def feed_finland(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.sources import finland
+
+    odd = F.col("event_id") % 2 == 1
+    topic = F.concat(F.lit("vessels-v2/"), F.col("user_id") + 200000000, F.when(odd, "/metadata").otherwise("/location"))
+    place = F.to_json(F.struct(F.unix_seconds("ts").alias("time"), F.lit(25.0).alias("lon"), F.lit(60.0).alias("lat"), F.when(F.col("event_id") % 5 == 0, 511).otherwise(F.col("event_id") % 360).alias("heading")))
+    about = F.to_json(F.struct((F.unix_seconds("ts") * 1000).alias("timestamp"), (F.col("event_id") % 200).alias("draught")))
+    raw = _raw(spark, sf_dir).select(topic.alias("topic"), F.when(odd, about).otherwise(place).alias("value"))
+    one = finland.locations(raw).select("mmsi", "timestamp", F.lit("location").alias("kind"), "heading", F.lit(None).cast("double").alias("draught"))
+    return _flat(one.union(finland.metadata(raw).select("mmsi", "timestamp", F.lit("metadata"), F.lit(None).cast("double"), "draught")))
+
+
+@_query(f"""
+    WITH {POS} SELECT mmsi, arg_max(vessel_name, (timestamp, lat, lon)) FILTER (vessel_name IS NOT NULL) AS vessel_name, arg_max(ship_type, (timestamp, lat, lon)) AS ship_type,
+           epoch_us(min(timestamp)) AS first_seen, epoch_us(max(timestamp)) AS last_seen, 'noaa' AS source, 'noaa:positions' AS record_provenance FROM p WHERE source = 'noaa' GROUP BY mmsi
+""")
+def vessel_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.sources.base import extract_vessels
+
+    out = extract_vessels(positions(spark, sf_dir).where("source = 'noaa'"), "noaa")
+    return _flat(out.select("mmsi", "vessel_name", "ship_type", "first_seen", "last_seen", "source", "record_provenance"))
+
+
+# --- streams, as batches of their operators
+
+
+@_query(f"WITH {POS}, d AS (SELECT mmsi, timestamp, lat, lon, event_id + 1000000 * k AS event_id FROM p, range(2) r(k)), r AS (SELECT *, row_number() OVER (PARTITION BY mmsi, timestamp, lat, lon ORDER BY event_id DESC) AS n FROM d) SELECT mmsi, epoch_us(timestamp) AS timestamp, lat, lon, event_id FROM r WHERE n = 1")
+def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.streaming.dedup import compact
+
+    rows = positions(spark, sf_dir).select("mmsi", "timestamp", "lat", "lon", "event_id")
+    return _flat(compact(rows.union(rows.withColumn("event_id", F.col("event_id") + 1_000_000)), "event_id"))
+
+
+@_query(f"WITH {POS}, d AS (SELECT DISTINCT mmsi, timestamp, lat, lon FROM p) SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS record_count, count(DISTINCT mmsi) AS distinct_mmsi_count, epoch_us(min(timestamp)) AS min_timestamp, epoch_us(max(timestamp)) AS max_timestamp, min(lon) AS west, max(lat) AS north FROM d GROUP BY 1")
+def partition_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifests of promoted partitions hold, for all days in one grouping."""
+    rows = positions(spark, sf_dir).dropDuplicates(["mmsi", "timestamp", "lat", "lon"])
+    return rows.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("date")).agg(
+        F.count("*").alias("record_count"), F.count_distinct("mmsi").alias("distinct_mmsi_count"), micros(F.min("timestamp")).alias("min_timestamp"), micros(F.max("timestamp")).alias("max_timestamp"), F.min("lon").alias("west"), F.max("lat").alias("north")
+    )
+
+
+@_query("WITH w AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pt FROM events), s AS (SELECT *, sum(CASE WHEN pt IS NULL OR epoch_us(ts) - epoch_us(pt) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM w) SELECT user_id, epoch_us(min(ts)) AS start_time, epoch_us(max(ts)) AS end_time, count(*) AS points FROM s GROUP BY user_id, run")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows part runs as gaps do; the microsecond keeps fixes that lie a gap apart together."""
+    gap = "6 hours 1 microsecond"
+    rows = _raw(spark, sf_dir).groupBy("user_id", F.session_window("ts", gap)).agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("points"))
+    return _flat(rows.select("user_id", "start_time", "end_time", "points"))
+
+
+# --- maps
+
+
+@_query(f"WITH s AS ({_TRACK_SQL}) SELECT track_id, mmsi, round(duration_s / max(duration_s) OVER () + 1.3e-8::DOUBLE, 6) AS trip_progress FROM s WHERE bbox_west <= 4.0 AND bbox_east >= 2.5 AND bbox_south <= 52.0 AND bbox_north >= 50.5")
+def map_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wakeline.viz import Viewport, prepare_trips
+
+    config = tracks.TrackConfig(TRACKS.gap_seconds, TRACKS.max_speed_knots, include_geometry=True)
+    made = tracks.build_tracks(positions(spark, sf_dir), config)
+    trips = prepare_trips(made, Viewport(2.5, 50.5, 4.0, 52.0))
+    plain = tracks.build_tracks(positions(spark, sf_dir), TRACKS).select("track_id", "mmsi", "start_time", "source")
+    out = trips.drop("track_id").join(plain, ["mmsi", "start_time", "source"])
+    return _flat(out.select("track_id", "mmsi", "trip_progress"), "trip_progress")
+
+
+# --- joins and the SQL surface
+
+
+@_query(f"WITH {POS}, s AS ({_LOITERING_SQL}) SELECT p.event_id AS fix, s.event_id FROM p JOIN s ON p.mmsi = s.mmsi AND epoch_us(p.timestamp) BETWEEN s.start_time AND s.end_time")
+def fixes_in_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes of a vessel while one of its events lasts: an equality join with an interval condition."""
+    found = events.detect_loitering(positions(spark, sf_dir), LOITERING).select("event_id", "mmsi", "start_time", "end_time")
+    rows = positions(spark, sf_dir).withColumnRenamed("event_id", "fix")
+    return rows.join(found, "mmsi").where(F.col("timestamp").between(F.col("start_time"), F.col("end_time"))).select("fix", "event_id")
+
+
+@_query(f"WITH {POS}, n AS (SELECT * FROM p WHERE source = 'noaa'), d AS (SELECT * FROM p WHERE source = 'dma') SELECT n.event_id, d.event_id AS before_id FROM n ASOF LEFT JOIN d ON n.mmsi = d.mmsi AND n.timestamp >= d.timestamp")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each fix of one source the last one before it of another: a union, and the last value over a window."""
+    from pyspark.sql import Window
+
+    rows = positions(spark, sf_dir).where("source IN ('noaa', 'dma')")
+    line = Window.partitionBy("mmsi").orderBy("timestamp", F.col("source") == "noaa").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("source") == "dma", F.col("event_id")), ignorenulls=True).over(line)
+    return rows.withColumn("before_id", last).where("source = 'noaa'").select("event_id", "before_id")
+
+
+SQL = {
+    "sql_avg_speed_by_type": "SELECT ship_type, round(avg(sog), 6) AS avg_sog, count(*) AS n FROM positions GROUP BY ship_type",
+    "sql_rollup": "SELECT source, ship_type, grouping(source) + grouping(ship_type) AS level, count(*) AS n FROM positions GROUP BY ROLLUP (source, ship_type)",
+    "sql_cube": "SELECT source, ship_type, count(DISTINCT mmsi) AS vessels FROM positions GROUP BY CUBE (source, ship_type)",
+    "sql_windows": "SELECT event_id, row_number() OVER (PARTITION BY mmsi ORDER BY timestamp, event_id) AS n, ntile(4) OVER (PARTITION BY mmsi ORDER BY timestamp, event_id) AS quarter, dense_rank() OVER (PARTITION BY source ORDER BY mmsi) AS d FROM positions",
+    "sql_set_operations": "SELECT mmsi FROM positions WHERE source = 'noaa' INTERSECT SELECT mmsi FROM positions WHERE source = 'dma' EXCEPT SELECT mmsi FROM positions WHERE sog > 19.5",
+    "sql_semi_anti": "SELECT DISTINCT mmsi FROM positions p WHERE EXISTS (SELECT 1 FROM positions q WHERE q.mmsi = p.mmsi AND q.sog > 15) AND NOT EXISTS (SELECT 1 FROM positions q WHERE q.mmsi = p.mmsi AND q.sog > 18)",
+    "sql_full_join": "SELECT coalesce(a.mmsi, b.mmsi) AS mmsi, a.n AS slow, b.n AS quick FROM (SELECT mmsi, count(*) AS n FROM positions WHERE sog < 0.05 GROUP BY mmsi) a FULL OUTER JOIN (SELECT mmsi, count(*) AS n FROM positions WHERE sog > 12 GROUP BY mmsi) b ON a.mmsi = b.mmsi",
+    "sql_filtered_aggregates": "SELECT mmsi, count(*) FILTER (WHERE source = 'noaa') AS noaa, max(sog) FILTER (WHERE source = 'dma') AS dma_max FROM positions GROUP BY mmsi HAVING count(*) > 20",
+}
+
+
+def _sql_query(name: str, text: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        positions(spark, sf_dir).createOrReplaceTempView("positions")
+        return spark.sql(text)
+
+    run.__name__ = name
+    QUERIES[name], ORACLES[name] = run, f"WITH {POS}, positions AS (SELECT * FROM p) {text}"
+
+
+for _name, _text in SQL.items():
+    _sql_query(_name, _text)
