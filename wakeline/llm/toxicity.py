@@ -145,7 +145,7 @@ class Scorer:
             if begin <= done or begin and text[begin - 1].isalpha():
                 continue
             ends = [x for x in (text.rfind(c, max(0, begin - 400), begin) for c in ".!?;:\n") if x >= 0]
-            end = CLAUSE_END.search(text, last + 1)
+            end = CLAUSE_END.search(text, last + 1, begin + 2000)
             done = min(end.start() if end else len(text), begin + 2000)
             at = max(ends, default=max(0, begin - 400) - 1) + 1
             for kind, weight, marks in self.grammar.run(WORD.findall(text, at, done)):
