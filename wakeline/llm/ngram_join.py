@@ -39,8 +39,8 @@ from wakeline.llm.common import stored, text_of
 
 #: Bytes hashed at once, entries that a task gathers before it sends them to blocks, entries in a block, rows in a bucket.
 STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 20, 2_000_000, 6_000_000, 20_000
-#: Partners of a row that are verified against one copy of it.
-PARTNERS = 1_000
+#: Partners of a row that are verified against one copy of it; products an entry that are taken without further pivots.
+PARTNERS, PRODUCTS = 1_000, 200
 LOW48 = (1 << 48) - 1
 
 
@@ -212,7 +212,7 @@ def _shared_columns(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """print, n, columns (shared ones, sorted), prefix (the rarest ones that a partner must share one of)."""
+    """print, n, lone (number of columns of its own), columns (shared ones, sorted), prefix (the rarest shared ones, of which a partner must have one)."""
 
     def run(frame):
         import pandas as pd
@@ -229,10 +229,10 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
             rare = n + percent * n // -100 + 1 - (n - int(b - a))
             if rare > 0:
                 own = grams[a:b]
-                out.append((int(rows[k]), n, np.sort(own).tobytes(), own[:rare].view(np.int64).tolist()))
-        return pd.DataFrame(out, columns=["print", "n", "columns", "prefix"])
+                out.append((int(rows[k]), n, n - len(own), np.sort(own).tobytes(), own[:rare].view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["print", "n", "lone", "columns", "prefix"])
 
-    return shared.groupBy("bucket").applyInPandas(run, "print long, n int, columns binary, prefix array<long>")
+    return shared.groupBy("bucket").applyInPandas(run, "print long, n int, lone int, columns binary, prefix array<long>")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -267,24 +267,28 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     shared = _shared_columns(_column_blocks(docs, text_col, words, blocks), buckets)
     rows = stored(_prefixes(shared, percent), "rows")
 
-    entries = rows.select("print", "n", F.explode("prefix").alias("gram"))
-    of = rows.select(F.col("print").alias("node"), F.col("print").alias("root"))
-    entries, tested, links = entries.withColumn("root", F.col("print")), None, None
-    fits = f"least(n, m) * 100 >= {percent} * greatest(n, m)"
+    # at: the column's place in the row's order, the rarest first; rank: rows with few columns of their own are in the middle of a group
+    rank = F.struct((F.col("lone") * 1_000_000 / F.col("n")).cast("long").alias("share"), "print")
+    entries = rows.select("print", "n", F.col("lone").alias("_lone"), rank.alias("rank"), F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("_lone")).drop("_lone")
+    entries, tested, links, pivots = entries.withColumn("root", F.col("print")), None, None, 0
+    total = rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    # what follows the first common column bounds the overlap, and so do sizes
+    fits = f"least(n, m) * 100 >= {percent} * greatest(n, m) AND least(n - at, m - u_at) * {100 + percent} >= {percent} * (n + m)"
     while True:
-        heads = entries.groupBy("gram").agg(F.min(F.struct("print", "n", "root")).alias("head"), F.count("*").alias("rows"), F.min("root").alias("a"), F.max("root").alias("b"))
-        heads = heads.where("a <> b").select("gram", F.col("head.print").alias("u"), F.col("head.n").alias("m"), F.col("head.root").alias("u_root"), "rows")
-        open_ = stored(entries.join(heads, "gram"), "open")
-        left, most = open_.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if not left:
+        own = entries.groupBy("gram", "root").agg(F.min(F.struct("rank", "n", "root", "at")).alias("head"), F.count("*").alias("own"))
+        heads = own.groupBy("gram").agg(F.min("head").alias("head"), F.count("*").alias("roots"), ((F.sum("own") * F.sum("own") - F.sum(F.col("own") * F.col("own"))) / 2).cast("long").alias("products"))
+        heads = stored(heads.where("roots > 1").select("gram", F.col("head.rank").alias("u_rank"), F.col("head.n").alias("m"), F.col("head.root").alias("u_root"), F.col("head.at").alias("u_at"), "products"), "heads")
+        products = heads.agg(F.coalesce(F.sum("products"), F.lit(0))).first()[0]
+        if pivots and not products:
             break
-        last = most <= 8 * left
-        if last:  # twice the number of pairs that share a column is in proportion to the entries
-            other = open_.select("gram", F.col("print").alias("u"), F.col("n").alias("m"), F.col("root").alias("u_root"))
-            pairs = open_.select("gram", "print", "n", "root").join(other, "gram").where(f"u < print AND u_root <> root AND {fits}")
+        open_ = stored(entries.join(heads, "gram"), "open")
+        last = pivots and products <= PRODUCTS * total
+        if last:
+            other = open_.select("gram", F.col("print").alias("u"), F.col("n").alias("m"), F.col("root").alias("u_root"), F.col("at").alias("u_at"))
+            pairs = open_.select("gram", "print", "n", "root", "at").join(other, "gram").where(f"u < print AND u_root <> root AND {fits}")
         else:
-            pairs = open_.where(f"u <> print AND u_root <> root AND {fits}")
-        pairs = pairs.select("u", F.col("print").alias("v")).distinct()
+            pairs = open_.withColumn("u", F.col("u_rank.print")).where(f"u <> print AND u_root <> root AND {fits}")
+        pairs = pairs.select(F.least("u", "print").alias("u"), F.greatest("u", "print").alias("v")).distinct()
         pairs = stored(pairs.join(tested, ["u", "v"], "left_anti") if tested else pairs, "pairs")
         tested = tested.union(pairs) if tested else pairs
         found = stored(_linked(pairs, rows, percent), "links")
@@ -293,7 +297,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         if last:
             break
         # a pivot is done with in its column
-        entries = open_.where("print > u").select("print", "n", "gram").join(of, F.col("print") == F.col("node"), "left").select("print", "n", "gram", F.coalesce("root", "print").alias("root"))
+        pivots += 1
+        entries = open_.where("rank > u_rank").select("print", "n", "rank", "at", "gram").join(of, F.col("print") == F.col("node"), "left").select("print", "n", "rank", "at", "gram", F.coalesce("root", "print").alias("root"))
 
     sets = sets.join(of, sets["print"] == of["node"], "left").select("id", "n", F.coalesce("root", "print").alias("root"))
     least = sets.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
