@@ -144,8 +144,9 @@ def query(pattern: str) -> list[list[list[str]]]:
 def index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """block, trigram, ids: which documents of a block hold a trigram, letters folded."""
     blocks = max(1, -(-docs.count() // block_docs))
-    folded = F.lower(text_of(text_col))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in trigrams])).alias("held"))
+    # a projection of its own, so that letters are folded once and not for each trigram
+    folded = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_of(text_col)).alias("folded"))
+    rows = folded.select("id", F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams])).alias("held"))
     postings = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", F.explode("held").alias("trigram"))
     return postings.groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
 
