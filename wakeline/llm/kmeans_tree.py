@@ -7,9 +7,10 @@ that their centre promises.  How many leaves a query visits is calibrated: for
 a few queries the true neighbours among all vectors are found by a scan, and
 visits are widened until these queries reach ``recall``, and some more.
 
-Leaves are searched as blocks of a matrix product.  Leaves with many vectors,
-or that many queries visit, are cut into lots, so that no block outgrows a
-task.  What is broadcast, the tree and the visits of the calibrated queries, is
+Leaves are searched as blocks of a matrix product, the first few of each query
+before the others: of the others only rows come back that reach the last place
+so far.  Leaves with many vectors, or that many queries visit, are cut into
+lots, so that no block outgrows a task.  What is broadcast, the tree and the visits of the calibrated queries, is
 bounded by parameters.
 
 Vectors that are null, empty or zero, hold a null or a number that isn't
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import stored
 
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 20_000, 8, 200, 4_096
-CALIBRATED, RECALL, MARGIN = 100, 0.97, 1.25
+SAMPLE_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 20_000, 8, 500, 4_096
+CALIBRATED, RECALL, MARGIN = 100, 0.95, 1.1
+#: Leaves that are searched first, to know what a row of the other ones must reach.
+FIRST = 4
 #: Vectors and queries in a block.
 LOT_ROWS, LOT_QUERIES = 4_000, 1_000
 
@@ -184,27 +187,37 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([tree.visits(v, visits) for v in _matrix(b.column(1))], pa.list_(pa.int32()))], ["id", "v", "leaf"])
 
-    ways = asked.mapInArrow(routed, "id long, v array<double>, leaf array<int>").withColumn("leaf", F.explode("leaf"))
+    ways = stored(asked.mapInArrow(routed, "id long, v array<double>, leaf array<int>"), "ways")
     # two numbers a leaf: in how many lots its vectors and its queries lie
-    lots = held.groupBy("leaf").agg(F.ceil(F.count("*") / LOT_ROWS).cast("int").alias("rows_lots")).join(ways.groupBy("leaf").agg(F.ceil(F.count("*") / LOT_QUERIES).cast("int").alias("query_lots")), "leaf")
-    lots = F.broadcast(spark.createDataFrame(lots.collect() or [], "leaf int, rows_lots int, query_lots int"))
+    asks = ways.select(F.explode("leaf").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / LOT_QUERIES).cast("int").alias("query_lots"))
+    lots = held.groupBy("leaf").agg(F.ceil(F.count("*") / LOT_ROWS).cast("int").alias("rows_lots")).join(asks, "leaf")
+    lots = F.broadcast(spark.createDataFrame(lots.collect(), "leaf int, rows_lots int, query_lots int"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = held.join(lots, "leaf").withColumn("a", lot("rows_lots")).withColumn("b", spread("query_lots")).select("leaf", "a", "b", "id", "v")
-    right = ways.join(lots, "leaf").withColumn("b", lot("query_lots")).withColumn("a", spread("rows_lots")).select("leaf", "a", "b", "id", "v")
+    keys = ["leaf", "a", "b"]
 
     def block(own, asking):
         import pandas as pd
 
-        ids, matrix, wanted = own["id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(float) if len(own) else None, asking["id"].to_numpy()
         out = []
         if len(own) and len(asking):
-            for q, (where, exact) in enumerate(best(np.stack(asking["v"].to_numpy()).astype(float), wanted, ids, matrix, k)):
-                out += [(int(wanted[q]), float(s), int(ids[at])) for at, s in zip(where, exact, strict=True)]
+            matrix, rows = np.stack(asking["v"].to_numpy()).astype(float), np.stack(own["v"].to_numpy()).astype(float)
+            wanted, ids, floor = asking["id"].to_numpy(), own["id"].to_numpy(), asking["floor"].to_numpy(float)
+            reach = (matrix @ rows.T >= (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None]).sum(axis=1)
+            some = np.flatnonzero(reach)
+            for q, (where, exact) in zip(some, best(matrix[some], wanted[some], ids, rows, k), strict=True):
+                out += [(int(wanted[q]), float(x), int(ids[at])) for at, x in zip(where, exact, strict=True) if x >= floor[q]]
         return pd.DataFrame(out, columns=["query_id", "score", "id"])
 
-    keys = ["leaf", "a", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, "query_id long, score double, id long")
+    def found_in(visits: DataFrame) -> DataFrame:
+        right = visits.withColumn("leaf", F.explode("leaf")).join(lots, "leaf").withColumn("b", lot("query_lots")).withColumn("a", spread("rows_lots")).select(*keys, "id", "v", "floor")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, "query_id long, score double, id long")
+
+    first = stored(_top(found_in(ways.withColumn("leaf", F.slice("leaf", 1, FIRST)).withColumn("floor", F.lit(float("-inf")))), k).select("query_id", "rank", "id", "score"), "first")
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = ways.withColumn("leaf", F.slice("leaf", FIRST + 1, MOST_LEAVES)).where(F.size("leaf") > 0).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = first.select("query_id", "score", "id").union(found_in(rest))
     return _top(found, k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
