@@ -38,7 +38,7 @@ from wakeline.llm import graph
 from wakeline.llm.common import stored, text_of
 
 #: Bytes hashed at once, entries that a task gathers before it sends them to blocks, entries in a block, rows in a bucket.
-STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 20, 2_000_000, 6_000_000, 20_000
+STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 19, 1_000_000, 2_000_000, 10_000
 #: Partners of a row that are verified against one copy of it; products an entry that are taken without further pivots.
 PARTNERS, PRODUCTS = 1_000, 200
 LOW48 = (1 << 48) - 1
