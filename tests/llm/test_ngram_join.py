@@ -72,6 +72,30 @@ def test_edges(spark):
     assert out == [(2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4)]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_counts_links(spark, monkeypatch, small):
+    """Also those within a component, by rows and not by sets; small lots make all kinds of products."""
+    if small:
+        for name, value in {"LOT_ROWS": 3, "LOT_ENTRIES": 200, "MATRIX_COLUMNS": 7, "AT_ONCE": 5, "DENSE": 2}.items():
+            monkeypatch.setattr(J, name, value)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[: 60 - rng.randrange(12)] + [rng.choice("xyz")] * rng.randrange(4)) for _ in range(40)]
+    rows = [*corpus(7, 60), *enumerate(near, 1000), (1000, near[0]), (2000, near[1])]
+    sets = [shingles(t) for _, t in rows]
+    links = [sum(i != j and bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    out = J.link(spark.createDataFrame(rows, "doc_id long, text string"), counts=True)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted((r.doc_id, r.n_links) for r in out.collect()) == sorted((i, n) for (i, _), n in zip(rows, links, strict=True))
+    assert max(links) > 20
+
+
+def test_query_counts_links(spark):
+    from wakeline.llm.queries import op6_ngram_jaccard_join
+
+    assert "n_links" in op6_ngram_jaccard_join(spark, "/root/testdata/sf0.001").columns
+
+
 @pytest.mark.parametrize("stride", [64, 1 << 20])
 def test_shingles(monkeypatch, stride):
     monkeypatch.setattr(J, "STRIDE", stride)

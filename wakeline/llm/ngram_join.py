@@ -15,6 +15,10 @@ Each document is a row of a sparse matrix, each distinct n-gram a column.
    is lost.  Pairs whose sizes rule out the bound are discarded.
 4. Overlaps are counted over all shared columns of a pair and held against the
    bound; links join components.
+5. Links never leave a component.  Where they are to be counted, all rows of a
+   component are multiplied with one another: it is cut into lots by size and
+   hash, and each pair of lots whose sizes allow a link is a product of its own,
+   by matrices for common columns and pair by pair for rare ones.
 
 Equal sets are one row from the start, by a fingerprint of the sorted n-grams.
 Blocks hold bounded numbers of entries; rows with the same column spread over
@@ -22,7 +26,8 @@ tasks by salting.  N-grams are 64-bit hashes of words, of which 48 bits and
 the block tell columns apart.
 
 Nulls count as empty texts; texts without words have no n-grams and no links;
-repeated rows fall into one component; an empty table gives no rows.
+repeated rows fall into one component and link with one another; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ from wakeline.llm.common import stored, text_of
 STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 19, 1_000_000, 2_000_000, 10_000
 #: Partners of a row that are verified against one copy of it; products an entry that are taken without further pivots.
 PARTNERS, PRODUCTS = 1_000, 200
+#: Rows and entries in a lot, columns in a matrix, products that are taken pair by pair at once; a column goes to a matrix if it has a pair for so many of all pairs.
+LOT_ROWS, LOT_ENTRIES, MATRIX_COLUMNS, AT_ONCE, DENSE = 2_000, 1_000_000, 4_096, 4_000_000, 100
 LOW48 = (1 << 48) - 1
 
 
@@ -259,8 +266,88 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return right.join(left, ["u", "lot"]).select("u", "v", "n_u", "n_v", "c_u", "c_v").mapInArrow(run, "u long, v long")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``id_col``, n_shingles, component_id: the smallest id that links reach."""
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of columns that each row of ``left`` shares with each of ``right``."""
+    count = (len(left), len(right))
+    grams, kind = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(sum(count)), [len(x) for x in (*left, *right)])
+    order = np.lexsort((row, kind))
+    row, kind = row[order], kind[order]
+    on_right = row >= count[0]
+    n_left, n_right = (np.bincount(kind[x], minlength=len(grams)) for x in (~on_right, on_right))
+    begin = np.cumsum(n_left + n_right) - n_right
+    dense = n_left * n_right * DENSE > count[0] * count[1]
+    out = np.zeros(count, np.int64)
+
+    place = np.cumsum(dense) - 1
+    for at in range(0, int(dense.sum()), MATRIX_COLUMNS):
+        mine = dense[kind] & (place[kind] >= at) & (place[kind] < at + MATRIX_COLUMNS)
+        cells = np.zeros((sum(count), MATRIX_COLUMNS), np.float32)
+        cells[row[mine], place[kind[mine]] - at] = 1
+        out += (cells[: count[0]] @ cells[count[0] :].T).astype(np.int64)
+
+    mine = ~dense[kind] & ~on_right & (n_right[kind] > 0)
+    row_left, times, first = row[mine], n_right[kind[mine]], begin[kind[mine]]
+    end = np.cumsum(times)
+    at = 0
+    while at < len(end):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + AT_ONCE, "right")))
+        n = times[at:to]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = row[np.repeat(first[at:to], n) + step] - count[0]
+        out += np.bincount(np.repeat(row_left[at:to], n) * count[1] + other, minlength=count[0] * count[1]).reshape(count)
+        at = to
+    return out
+
+
+def _link_counts(rows: DataFrame, of: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """print, partners: the links of a set with other sets, each counted by ``weight``, the number of rows that have that set."""
+    members = rows.join(of, rows["print"] == of["node"], "left").select("print", "n", "columns", F.coalesce("root", "print").alias("root")).withColumn("entries", F.length("columns") / 8)
+    whole = members.groupBy("root").agg(F.count("*").alias("many"), F.sum("entries").alias("all")).where("many > 1")
+    members = members.join(whole, "root").join(weights, "print").withColumn("one", F.expr(f"many <= {LOT_ROWS} AND all <= {LOT_ENTRIES}")).drop("many", "all")
+    # sizes of linked sets are in one class or in neighbouring ones; the hundredth leaves room for rounding
+    members = stored(members.withColumn("class", F.floor(F.log("n") / math.log(101 / percent))), "members")
+    small, large = members.where("one"), members.where("NOT one")
+    buckets = max(1, math.ceil(small.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0] / LOT_ENTRIES))
+    small = small.select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("task"), F.col("root").alias("unit"), F.lit(0).alias("side"), "print", "n", "weight", "columns")
+
+    lots = stored(large.groupBy("root", "class").agg(F.ceil(F.greatest(F.count("*") / LOT_ROWS, F.sum("entries") / LOT_ENTRIES)).alias("lots")), "lots")
+    near = lambda by, name: lots.select("root", (F.col("class") + by).alias("class"), F.col("lots").alias(name))
+    shape = lots.join(near(-1, "above"), ["root", "class"], "left").join(near(1, "below"), ["root", "class"], "left")
+    large = large.join(shape, ["root", "class"]).withColumn("lot", F.pmod(F.xxhash64("print"), F.col("lots")))
+    meets = """explode(concat(
+        transform(sequence(0L, lots - 1), x -> struct(xxhash64(root, class, 0, least(x, lot), greatest(x, lot)) AS unit, CASE WHEN x = lot THEN 0 WHEN x > lot THEN 1 ELSE 2 END AS side)),
+        transform(filter(sequence(0L, coalesce(above, 0L)), x -> x < above), x -> struct(xxhash64(root, class, 1, lot, x) AS unit, 1 AS side)),
+        transform(filter(sequence(0L, coalesce(below, 0L)), x -> x < below), x -> struct(xxhash64(root, class - 1, 1, x, lot) AS unit, 2 AS side))))"""
+    large = large.withColumn("meets", F.expr(meets)).select(F.col("meets.unit").alias("task"), "meets.unit", "meets.side", "print", "n", "weight", "columns")
+
+    def run(frame):
+        import pandas as pd
+
+        found = [pd.DataFrame({"print": pd.Series(dtype="int64"), "partners": pd.Series(dtype="int64")})]
+        for _, part in frame.groupby("unit", sort=False):
+            # a lot with itself, or one with another
+            sides = [part[part["side"] == k] for k in ((0, 0) if part["side"].iat[0] == 0 else (1, 2))]
+            if not (len(sides[0]) and len(sides[1])):
+                continue
+            n, m = (x["n"].to_numpy(np.int64) for x in sides)
+            both = _overlaps(*([np.frombuffer(c, "<u8") for c in x["columns"]] for x in sides))
+            linked = 100 * both >= percent * (n[:, None] + m[None, :] - both)
+            if part["side"].iat[0] == 0:
+                np.fill_diagonal(linked, False)
+            found.append(pd.DataFrame({"print": sides[0]["print"], "partners": linked @ sides[1]["weight"].to_numpy(np.int64)}))
+            if part["side"].iat[0]:
+                found.append(pd.DataFrame({"print": sides[1]["print"], "partners": sides[0]["weight"].to_numpy(np.int64) @ linked}))
+        return pd.concat(found)
+
+    return small.union(large).groupBy("task").applyInPandas(run, "print long, partners long").groupBy("print").agg(F.sum("partners").alias("partners"))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, counts: bool = False) -> DataFrame:
+    """``id_col``, n_shingles, component_id: the smallest id that links reach.
+
+    ``counts``: with n_links, the number of other rows that the row is linked to.
+    """
     sets = stored(row_sets(docs, id_col, text_col, words), "sets")
     entries, count = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks, buckets = max(1, math.ceil(entries / BLOCK_ENTRIES)), max(1, math.ceil(count / BUCKET_ROWS))
@@ -300,7 +387,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pivots += 1
         entries = open_.where("rank > u_rank").select("print", "n", "rank", "at", "gram").join(of, F.col("print") == F.col("node"), "left").select("print", "n", "rank", "at", "gram", F.coalesce("root", "print").alias("root"))
 
-    sets = sets.join(of, sets["print"] == of["node"], "left").select("id", "n", F.coalesce("root", "print").alias("root"))
+    sets, texts = sets.join(of, sets["print"] == of["node"], "left").select("id", "n", "print", F.coalesce("root", "print").alias("root")), sets
     least = sets.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    named = sets.where("n > 0").join(least, "root").select("id", "n", "least").union(sets.where("n = 0").select("id", "n", F.col("id").alias("least")))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    named = sets.where("n > 0").join(least, "root").select("id", "n", "least", "print")
+    empty = sets.where("n = 0").select("id", "n", F.col("id").alias("least"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id")]
+    if not counts:
+        return named.drop("print").union(empty).select(columns)
+    weights = stored(texts.where("n > 0").groupBy("print").agg(F.count("*").alias("weight")), "weights")
+    partners = stored(_link_counts(rows, of, weights, percent), "partners")
+    own = weights.join(partners, "print", "left").select("print", (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
+    named = named.join(own, "print").select("id", "n", "least", "n_links")
+    return named.union(empty.withColumn("n_links", F.lit(0).cast("long"))).select(*columns, "n_links")

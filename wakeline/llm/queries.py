@@ -33,7 +33,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(table(spark, sf_dir, "documents"))
+    return ngram_join.link(table(spark, sf_dir, "documents"), counts=True)
 
 
 def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
