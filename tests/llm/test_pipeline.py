@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from wakeline.llm import apportion, sentencepiece_table, stages, toxicity
 from tests.llm.test_ngram_join import brute
@@ -53,3 +55,18 @@ def test_empty_and_repeated(spark):
             df = stage(spark, df, SF)
             assert df.columns == docs.columns
         assert stages.encoded(spark, df, SF).count() >= 0
+
+
+def test_rows_with_repeated_and_null_ids(spark):
+    """Stages drop and cut rows, not ids."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(300))
+    kept = [(1, text("a")), (2, text("b")), (0, text("c")), (None, text("d")), (None, text("e")), (4, text("f")), (4, text("g"))]
+    copies = [(1, text("a")), (2, text("c")), (None, text("d")), (None, text("a"))]
+    rows = lambda df: sorted(map(repr, ((r.doc_id, r.text) for r in df.collect())))
+    frame = lambda x: spark.createDataFrame([(i, t, "s") for i, t in x], "doc_id long, text string, source string").coalesce(1)
+    for stage in (stages.without_copies, stages.without_near_copies):
+        assert rows(stage(spark, frame(kept + copies), SF)) == sorted(map(repr, kept))
+
+    taken = {r.row: r.taken for r in apportion.mix(frame(kept).withColumn("n", F.monotonically_increasing_id()), row_col="n").collect()}
+    words = [w for r in stages.mixed(spark, frame(kept), SF).collect() for w in r.text.split()]
+    assert {k: sum(w[0] == t[0] for w in words) for k, (_, t) in enumerate(kept)} == taken and len(set(words)) > 1500

@@ -70,15 +70,15 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return held
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, cap: int = 2, block_words: int = 64, shard_words: int = 1_000_000, most_shards: int = 65_536, seed: int = 17) -> DataFrame:
-    """``id_col``, row (a number of its own), source, size, source_size, target, taken, pieces.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, cap: int = 2, block_words: int = 64, shard_words: int = 1_000_000, most_shards: int = 65_536, seed: int = 17, row_col: str | None = None) -> DataFrame:
+    """``id_col``, row (a number of its own, or ``row_col``), source, size, source_size, target, taken, pieces.
 
     ``pieces`` are the word ranges that the mix takes: (first, end, times).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
     # the row number only parts rows that share their id
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()) if row_col is None else rows, "sizes")
     held = sorted(rows.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in held]
     weigh = [weights[i % len(weights)] for i in range(len(held))]

@@ -1,7 +1,8 @@
 """The operators as stages of a corpus pipeline: (spark, docs, sf_dir) to documents.
 
-Rows of ``docs`` keep their columns.  A null text is an empty one.  Ids name
-documents: of rows that share id and text, one stays after the dedup stages.
+Rows of ``docs`` keep their columns.  A null text is an empty one.  Rows are
+told apart by a number of their own, as ids may repeat or be null: of rows that
+share id and text, one stays after the dedup stages.
 """
 
 from __future__ import annotations
@@ -24,26 +25,35 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a stored number of each row, _row, and _key: the id, nulls last, and that number."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    return rows.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+
+
 def _only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``; Spark sends the list around only where it is small."""
-    return docs.join(stored(dropped, "dropped"), "doc_id", "left_anti")
+    """``docs`` without the rows of ``dropped``; Spark sends the list around only where it is small."""
+    dropped = stored(dropped.select(F.col("_key.row").alias("_row")), "dropped")
+    return docs.join(dropped, "_row", "left_anti").drop("_row", "_key")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one that the dedup keeps."""
-    return _only(docs, exact.dedup(docs).where("NOT kept").select("doc_id"))
+    docs = _keyed(docs)
+    return _only(docs, exact.dedup(docs, "_key").where("NOT kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, the one with the smallest id."""
-    return _only(docs, ngram_join.link(docs).where("doc_id <> component_id").select("doc_id"))
+    docs = _keyed(docs)
+    return _only(docs, ngram_join.link(docs, "_key").where("_key.row <> component_id.row"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes, under the documents' ids: a row for words taken once or more, one for those taken twice."""
-    pieces = apportion.mix(docs).where("taken > 0").select("doc_id", "row", "size", "pieces")
-    pieces = pieces.groupBy("doc_id").agg(F.first("size").alias("size"), F.first("pieces").alias("pieces"))
-    found = docs.join(pieces.select("doc_id", F.col("size").alias("_size"), F.col("pieces").alias("_pieces")), "doc_id").select(*docs.columns, "_size", "_pieces")
+    rows = _keyed(docs)
+    pieces = apportion.mix(rows, row_col="_row").where("taken > 0").select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces"))
+    found = rows.join(pieces, "_row").select(*docs.columns, "_size", "_pieces")
     text, size, cut = (found.columns.index(c) for c in ("text", "_size", "_pieces"))
 
     def taken(text: str, size: int, pieces: list[dict], level: int) -> str:
@@ -57,8 +67,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 runs[-1][1] = p["end"]
             else:
                 runs.append([p["first"], p["end"]])
-        # an id may stand for rows with other texts, which give what they have
-        return "\n".join(text[spans[a][0] : spans[min(b, len(spans)) - 1][1]] for a, b in runs if a < len(spans))
+        return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
 
     def run(batches):
         import pyarrow as pa
