@@ -362,6 +362,12 @@ def nav_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", nav_status(F.col("event_id") % 17).alias("nav_status"))
 
 
+@_query("SELECT event_id, CASE event_id % 17 WHEN 0 THEN 'Under way using engine' WHEN 1 THEN 'At anchor' WHEN 2 THEN 'Not under command' WHEN 3 THEN 'Restricted maneuverability' WHEN 4 THEN 'Constrained by draught' WHEN 5 THEN 'Moored' WHEN 6 THEN 'Aground' WHEN 7 THEN 'Engaged in fishing' WHEN 8 THEN 'Under way sailing' WHEN 9 THEN 'Reserved for HSC' WHEN 10 THEN 'Reserved for WIG' WHEN 14 THEN 'AIS-SART' WHEN 15 THEN 'Not defined' END AS nav_status FROM events")
+def nav_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows and all texts, of which ``nav_status_text`` has some."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", nav_status(F.col("event_id") % 17).alias("nav_status"))
+
+
 # --- feeds: the table seen as raw messages, read back by each source's rules
 
 
