@@ -108,3 +108,22 @@ def test_nav_status_of_all_rows(spark):
     key = lambda r: r[0]
     assert sorted(out, key=key) == sorted(db.execute(ORACLES["nav_status_all"]).fetchall(), key=key)
     assert len(out) == spark.read.parquet(f"{sf}/events.parquet").count() and len({t for _, t in out if t}) == 13
+
+
+def test_points_on_edges_are_outside(spark):
+    ring = ((2.0, 50.0), (5.0, 50.0), (5.0, 52.0), (2.0, 54.0))
+    points = [(3.0, 50.0), (2.0, 51.0), (5.0, 51.0), (2.0, 50.0), (5.0, 52.0), (3.5, 53.0), (3.0, 51.0), (4.9, 50.1)]
+    rows = spark.createDataFrame(points, "x double, y double")
+    assert [r[0] for r in rows.select(B.in_ring(F.col("x"), F.col("y"), ring)).collect()] == [False] * 6 + [True] * 2
+
+
+def test_polygon_query_against_sql(spark):
+    import duckdb
+
+    from wakeline.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    out = QUERIES["region_polygon"](spark, sf)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS FROM read_parquet('{sf}/events.parquet{'/*.parquet' if os.path.isdir(f'{sf}/events.parquet') else ''}')")
+    assert sorted(map(tuple, out.collect())) == sorted(db.execute(ORACLES["region_polygon"]).fetchall())

@@ -42,14 +42,19 @@ class BoundaryDataset:
 
 
 def in_ring(x: Column, y: Column, ring: tuple[tuple[float, float], ...]) -> Column:
-    """Ray casting: whether an odd number of edges is crossed; a closing point may be left out."""
+    """Ray casting: whether an odd number of edges is crossed and none is touched; a closing point may be left out."""
     points = list(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)
-    crossed = F.lit(0)
+    crossed, touched = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+        along = y.between(min(ay, by), max(ay, by))
         if ay != by:
             spans = (F.lit(ay) > y) != (F.lit(by) > y)
-            crossed = crossed + F.when(spans & (x < (y - ay) * ((bx - ax) / (by - ay)) + ax), 1).otherwise(0)
-    return crossed % 2 == 1
+            edge = (y - ay) * ((bx - ax) / (by - ay)) + ax
+            crossed = crossed + F.when(spans & (x < edge), 1).otherwise(0)
+            touched = touched | (along & (x == edge))
+        else:
+            touched = touched | (along & x.between(min(ax, bx), max(ax, bx)))
+    return (crossed % 2 == 1) & ~touched
 
 
 class BoundaryRegistry:
