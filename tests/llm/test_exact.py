@@ -59,3 +59,31 @@ def test_edges(spark):
     out = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in E.dedup(df).collect())
     assert out == [(-1, -1, 1, True), (-1, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
     assert E.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_few_ids_and_one_text(spark):
+    """Rows are never matched by id: many rows of two ids take no longer than others."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select((F.col("id") % 2).alias("doc_id"), F.when(F.col("id") < 99_990, F.lit("one text")).otherwise(F.concat(F.lit("text "), F.col("id") % 5)).alias("text"))
+    began = time.time()
+    out = E.dedup(df).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert time.time() - began < 60
+    shown = sorted(tuple(r) for r in out)
+    assert shown == sorted([(0, 0, 99_990, True, 49_995), (1, 0, 99_990, False, 49_995), *[(i, 0, 2, i == 0, 5) for i in (0, 1)]])
+
+
+def test_null_ids_are_compared(spark, monkeypatch):
+    rows = [(None, "abc"), (None, "xyz"), (None, "a bc"), (7, "xyz")]
+    true = E.fingerprints
+
+    def same(*args):
+        from pyspark.sql import functions as F
+
+        return true(*args).withColumn("print", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(E, "fingerprints", same)
+    out = sorted(((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in E.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert out == [(0, 0, 2, True), (0, 0, 2, True), (0, 7, 2, False), (7, 7, 2, True)]
