@@ -67,6 +67,11 @@ def test_rows_with_repeated_and_null_ids(spark):
     for stage in (stages.without_copies, stages.without_near_copies):
         assert rows(stage(spark, frame(kept + copies), SF)) == sorted(map(repr, kept))
 
+    named = frame(kept + copies).withColumns({c: F.lit(c) for c in ("_row", "_key", "_cut", "_size", "_pieces", "row", "print", "size", "n")})
+    for stage in (stages.without_copies, stages.without_near_copies, stages.mixed):
+        out = stage(spark, named, SF)
+        assert out.columns == named.columns and {r._cut for r in out.collect()} == {"_cut"}
+
     taken = {r.row: r.taken for r in apportion.mix(frame(kept).withColumn("n", F.monotonically_increasing_id()), row_col="n").collect()}
     words = [w for r in stages.mixed(spark, frame(kept), SF).collect() for w in r.text.split()]
     assert {k: sum(w[0] == t[0] for w in words) for k, (_, t) in enumerate(kept)} == taken and len(set(words)) > 1500

@@ -25,36 +25,46 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a stored number of each row, _row, and _key: the id, nulls last, and that number."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    return rows.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name = "_" + name
+    return name
 
 
-def _only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs``, stored with a number of each row and a key, the id, nulls last, and that number; and the names of both."""
+    row, key = _free(docs, "_row"), _free(docs, "_key")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))), row, key
+
+
+def _without(docs: DataFrame, row: str, key: str, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``dropped``; Spark sends the list around only where it is small."""
-    dropped = stored(dropped.select(F.col("_key.row").alias("_row")), "dropped")
-    return docs.join(dropped, "_row", "left_anti").drop("_row", "_key")
+    dropped = stored(dropped.select(F.col(f"{key}.row").alias(row)), "dropped")
+    return docs.join(dropped, row, "left_anti").drop(row, key)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one that the dedup keeps."""
-    docs = _keyed(docs)
-    return _only(docs, exact.dedup(docs, "_key").where("NOT kept"))
+    docs, row, key = _numbered(docs)
+    return _without(docs, row, key, exact.dedup(docs, key).where("NOT kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, the one with the smallest id."""
-    docs = _keyed(docs)
-    return _only(docs, ngram_join.link(docs, "_key").where("_key.row <> component_id.row"))
+    docs, row, key = _numbered(docs)
+    return _without(docs, row, key, ngram_join.link(docs, key).where(F.col(f"{key}.row") != F.col("component_id.row")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes, under the documents' ids: a row for words taken once or more, one for those taken twice."""
-    rows = _keyed(docs)
-    pieces = apportion.mix(rows, row_col="_row").where("taken > 0").select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces"))
-    found = rows.join(pieces, "_row").select(*docs.columns, "_size", "_pieces")
-    text, size, cut = (found.columns.index(c) for c in ("text", "_size", "_pieces"))
+    rows, row, _ = _numbered(docs)
+    more = _free(docs, "_cut")
+    pieces = apportion.mix(rows, row_col=row).where("taken > 0").select(F.col("row").alias(row), F.struct("size", "pieces").alias(more))
+    found = rows.join(pieces, row).select(*docs.columns, more)
+    text, cut = docs.columns.index("text"), len(docs.columns)
 
     def taken(text: str, size: int, pieces: list[dict], level: int) -> str:
         own = [p for p in pieces if p["times"] >= level]
@@ -73,10 +83,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts, sizes, pieces = (batch.column(i).to_pylist() for i in (text, size, cut))
             rows, out = [], []
-            for i, (t, n, p) in enumerate(zip(texts, sizes, pieces, strict=True)):
-                t = t or ""
+            for i, (t, c) in enumerate(zip(batch.column(text).to_pylist(), batch.column(cut).to_pylist(), strict=True)):
+                t, n, p = t or "", c["size"], c["pieces"]
                 for level in range(1, 1 + max(x["times"] for x in p)):
                     rows.append(i)
                     out.append(taken(t, n, p, level))
