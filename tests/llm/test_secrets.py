@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from wakeline.llm import secrets as S
 
 BASE = (
@@ -60,3 +62,28 @@ def test_edges(spark):
 def test_native(spark):
     plan = S.digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_in_one_text(spark, tmp_path):
+    """Time in proportion to the matches: 200,000 in one text, in seconds."""
+    import time
+
+    part, n = "0123456789abcdef password=ABCDEFGHIJKLMN é ", 100_000
+    spark.createDataFrame([(0, part * n)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    began = time.time()
+    r = S.digests(spark.read.parquet(str(tmp_path / "t"))).select("n_assign", "n_access", "n_hex", F.right("spans", F.lit(60)).alias("tail")).first()
+    assert time.time() - began < 90
+    assert (r.n_assign, r.n_access, r.n_hex) == (n, 0, n)
+    at = (n - 1) * len(part)
+    assert r.tail.endswith(f"hex:{at}:{at + 16},assign:{at + 17}:{at + 40}")
+
+
+def test_leads(spark):
+    """Any text that meets a query holds a lead, and rare trigrams lead."""
+    queries = [q for q in (S.query(r.pattern) for r in S.RULES) if q]
+    df = spark.createDataFrame([("token ken tok akia",)] * 5, "folded string")
+    found = S.leads(df, queries)
+    assert "oke" in found or "tok" in found or "ken" in found
+    for clauses in queries:
+        assert any(all(any(t in found for t in a) for a in clause) for clause in clauses)
+    assert len(found) < 25 and S.leads(df, []) == []

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,21 +71,3 @@ def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
     rest = marked.where(F.col(size).isNull()).drop(*more).join(groups.where(~large), keys, "left")
     return marked.where(F.col(size).isNotNull()).select(columns).union(rest.select(columns))
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def running_sums(values: Column, longest: int = 1 << 30) -> Column:
-    """Sums of an array's first 1, 2, 3 ... numbers, in n log n steps."""
-    step = 1
-    while step < longest:
-
-        def shifted(x: Column, by: int = step) -> Column:
-            behind = F.concat(F.array_repeat(F.lit(0).cast("long"), by), F.slice(x, 1, F.greatest(F.size(x) - by, F.lit(0))))
-            return F.when(F.size(x) > by, F.zip_with(x, behind, lambda a, b: a + b)).otherwise(x)
-
-        values = let(values, shifted)
-        step *= 2
-    return values

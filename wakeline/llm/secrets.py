@@ -9,10 +9,18 @@ block, and only the documents that come out are searched with the rule itself.
 Rules that imply no trigram, such as runs of hexadecimal digits, scan
 everything.  All work is in DataFrame functions.
 
-Spans are counted in code points, end exclusive.  Matches of a rule are
-leftmost and don't overlap; those whose group is too short are dropped after
-matching.  Nulls count as empty texts; documents without id are searched by all
-rules; repeated rows give repeated rows; an empty table gives no rows.
+A text is searched for all trigrams only if it holds a leading one: for each
+rule the clause, and of each of its strings the trigram, that is rarest in the
+``SAMPLED`` first texts leads.  Without it the text meets no query, so leads
+decide how much is read, never what is found.
+
+Spans are counted in code points, end exclusive; their places are running sums
+of the lengths of matches and of what lies between, over a row for each match,
+so that a text with many matches takes time in proportion.  Matches of a rule are leftmost and don't
+overlap; those whose group is too short are dropped after matching.  Nulls
+count as empty texts; documents without id are searched by all rules; repeated
+rows give repeated rows; long texts are read whole; columns other than id and
+text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +30,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import stored, text_of
 
-#: Documents in a block of the index; strings that a part of a rule may stand for before it is left open.
-BLOCK_DOCS, STRINGS = 10_000, 64
+#: Documents in a block of the index; strings that a part of a rule may stand for before it is left open; texts that name the leading trigrams.
+BLOCK_DOCS, STRINGS, SAMPLED = 10_000, 64, 1_000
 
 
 @dataclass(frozen=True)
@@ -141,12 +149,30 @@ def query(pattern: str) -> list[list[list[str]]]:
 # --- the index
 
 
-def index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """block, trigram, ids: which documents of a block hold a trigram, letters folded."""
+def _held(text: Column, trigrams: list[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in trigrams]))
+
+
+def leads(folded: DataFrame, queries: Iterable[list[list[list[str]]]]) -> list[str]:
+    """Trigrams of which any text that meets a query holds one; the rare ones, as far as some texts show."""
+    trigrams = sorted({t for clauses in queries for clause in clauses for a in clause for t in a})
+    counts = {r.trigram: r["count"] for r in folded.limit(SAMPLED).select(F.explode(_held(F.col("folded"), trigrams)).alias("trigram")).groupBy("trigram").count().collect()}
+    rare = lambda a: min(a, key=lambda t: (counts.get(t, 0), t))
+    found = set()
+    for clauses in queries:
+        options = [{rare(a) for a in clause} for clause in clauses]
+        found |= min(options, key=lambda o: (sum(counts.get(t, 0) for t in o), len(o)), default=set())
+    return sorted(found)
+
+
+def index(docs: DataFrame, queries: list[list[list[list[str]]]], id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """block, trigram, ids: which documents of a block hold a trigram, letters folded; documents that can meet some query are listed."""
     blocks = max(1, -(-docs.count() // block_docs))
     # a projection of its own, so that letters are folded once and not for each trigram
     folded = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_of(text_col)).alias("folded"))
-    rows = folded.select("id", F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams])).alias("held"))
+    trigrams = sorted({t for clauses in queries for clause in clauses for a in clause for t in a})
+    led = reduce(lambda a, b: a | b, [F.contains("folded", F.lit(t)) for t in leads(folded, queries)])
+    rows = folded.select("id", F.when(led, _held(F.col("folded"), trigrams)).alias("held"))
     postings = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", F.explode("held").alias("trigram"))
     return postings.groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
 
@@ -172,43 +198,44 @@ def candidates(postings: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 # --- verification
 
 
-def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """(start, number, end) of the rule's matches: pieces between matches and matches take turns."""
+def _parts(text: Column, rule: Rule, number: int) -> Column:
+    """The rule's matches in order: (number, pos, gap, size, held), lengths of what lies before a match, of it, and of its group."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("piece"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("held"),
     )
-    empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["piece"])
-        end = start + F.coalesce(F.char_length(x["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"))
-        ok = x["match"].isNotNull() & (F.char_length(x["held"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    # the last piece has no match behind it
+    found = F.transform(parts, lambda x, i: F.struct(F.lit(number).alias("number"), i.alias("pos"), F.char_length(x["piece"]).alias("gap"), F.char_length(x["match"]).alias("size"), F.char_length(x["held"]).alias("held")))
+    return F.filter(found, lambda x: x["size"].isNotNull())
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``found``, the spans of all rules: (start, number of the rule, end), in order."""
     asked = {r.kind: query(r.pattern) for r in rules}
-    trigrams = sorted({t for clauses in asked.values() for clause in clauses for a in clause for t in a})
+    queries = [q for q in asked.values() if q]
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    if trigrams:
-        postings = stored(index(docs, trigrams, id_col, text_col), "postings")
+    if queries:
+        postings = stored(index(docs, queries, id_col, text_col), "postings")
         hits = stored(candidates(postings, [r for r in rules if asked[r.kind]]), "candidates")
         rows = rows.join(hits.withColumnRenamed("id", "hit"), F.col("id") == F.col("hit"), "left").drop("hit")
-    empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
+    empty = F.array().cast("array<struct<number:int,pos:int,gap:int,size:int,held:int>>")
     found = []
     for number, rule in enumerate(rules):
         asked_for = F.col("text").rlike(rule.pattern)
         if asked[rule.kind]:
             asked_for = (F.col("id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))) & asked_for
-        found.append(F.when(asked_for, _spans(F.col("text"), rule, number)).otherwise(empty))
-    return rows.select(F.col("id").alias(id_col), F.array_sort(F.flatten(F.array(*found))).alias("found"))
+        found.append(F.when(asked_for, _parts(F.col("text"), rule, number)).otherwise(empty))
+    # a row of numbers for each match, and one for a text without any; matches of a text meet again by its row
+    parts = rows.select("id", F.monotonically_increasing_id().alias("row"), F.flatten(F.array(*found)).alias("parts"))
+    parts = parts.select("id", "row", F.explode_outer("parts").alias("m")).select("id", "row", "m.*").repartition("row")
+    line = Window.partitionBy("row", "number").orderBy("pos")
+    placed = parts.withColumn("to", F.sum(F.col("gap") + F.col("size")).over(line).cast("int"))
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("number") + 1)
+    span = F.when(F.col("held") >= least, F.struct((F.col("to") - F.col("size")).alias("start"), "number", F.col("to").alias("end")))
+    spans = placed.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(span)).alias("found"))
+    return spans.select(F.col("id").alias(id_col), "found")
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
