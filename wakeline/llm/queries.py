@@ -14,9 +14,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2 i and 2 i + 1 are the chosen and the rejected one of pair i."""
-    turns = table(spark, sf_dir, "conversations")
-    return preferences.format_pairs(turns, F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0"))
+    """Each conversation against itself with the last reply of another one."""
+    rows = preferences.with_other_replies(table(spark, sf_dir, "conversations"))
+    out = preferences.format_pairs(rows, F.col("pair_id"), F.col("chosen"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +100,28 @@ ORACLES = {
         FROM q
     """,
     "op2_preference_pairs": r"""
-        WITH r AS (
-            SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+        WITH t AS (
+            SELECT DISTINCT conv_id AS v, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
             FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-        g AS (SELECT pair_id, chosen, turn, list((role, text) ORDER BY role, text) AS said FROM r GROUP BY ALL),
-        b AS (SELECT pair_id, turn, c.said AS c, d.said AS d
-              FROM (FROM g WHERE chosen) c FULL JOIN (FROM g WHERE NOT chosen) d USING (pair_id, turn)),
-        e AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM d) AS first_other FROM b GROUP BY pair_id),
-        o AS (SELECT r.*, row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role, text) - 1 AS place,
-                     first_other IS NULL OR turn < first_other AS shared FROM r JOIN e USING (pair_id))
-        SELECT pair_id, CASE WHEN shared THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn, place::INTEGER AS place, role,
-               '<|' || role || E'|>\n' || text || E'<|end|>\n' AS rendered, NOT shared AND role = 'assistant' AS in_loss
-        FROM o WHERE chosen OR NOT shared
+        a AS (SELECT v, max(turn) AS cut, sha256(v || ':17') AS place FROM t WHERE role = 'assistant' GROUP BY v),
+        l AS (SELECT *, ('0x' || place[1:8])::BIGINT % (SELECT count(*) // 128 + 1 FROM a) AS ring FROM a),
+        n AS (SELECT v, cut, coalesce(lead(v) OVER w, first_value(v) OVER w) AS other FROM l WINDOW w AS (PARTITION BY ring ORDER BY place, v)),
+        r AS (
+            SELECT v AS pair_id, TRUE AS chosen, turn, role, text FROM t
+            UNION SELECT t.v, FALSE, turn, role, text FROM t LEFT JOIN n USING (v) WHERE cut IS NULL OR turn < cut
+            UNION SELECT n.v, FALSE, n.cut, t.role, t.text FROM n JOIN n o ON o.v = n.other JOIN t ON t.v = o.v AND t.turn = o.cut AND t.role = 'assistant'),
+        g AS (SELECT pair_id, turn, list((role, text) ORDER BY role, text) FILTER (chosen) AS c, list((role, text) ORDER BY role, text) FILTER (NOT chosen) AS d FROM r GROUP BY ALL),
+        e AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM d) AS first_other FROM g GROUP BY pair_id),
+        o AS (SELECT pair_id, turn // 1000 AS part, turn, role, text, '<|' || role || E'|>\n' AS head, text || E'<|end|>\n' AS body, first_other IS NULL OR turn < first_other AS shared,
+                     CASE WHEN shared THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS side
+              FROM r JOIN e USING (pair_id) WHERE chosen OR NOT (first_other IS NULL OR turn < first_other)),
+        p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, side ORDER BY turn, role, text) AS fin FROM o)
+        SELECT pair_id, part,
+               coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (side = 'prompt'), '') AS prompt,
+               coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (side = 'chosen'), '') AS chosen,
+               coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (side = 'rejected'), '') AS rejected,
+               coalesce(string_agg((fin - length(body)) || ':' || fin, ',' ORDER BY turn, role, text) FILTER (side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+               coalesce(string_agg((fin - length(body)) || ':' || fin, ',' ORDER BY turn, role, text) FILTER (side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+        FROM p GROUP BY pair_id, part
     """,
 }
