@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.llm import kmeans_tree as K
 
@@ -56,6 +57,12 @@ def test_table(spark):
         s[ids == q] = -9
         hits += len(set(ids[np.argsort(-s)[:20]]) & set(out[out.query_id == q].vec_id))
     assert hits / len(out) >= 0.9
+    assert out["calibrated_recall"].nunique() == 1 and out["calibrated_recall"][0] >= 0.97 and out["leaves_visited"][0] >= 1
+
+
+def test_an_id_with_two_vectors(spark):
+    two = spark.createDataFrame([(20, [1.0, 2.0], 1), (20, [2.0, 2.0], 1), (21, [1.0, 0.0], 1), (21, [1.0, 0.0], 1)], SCHEMA).withColumn("id", F.lit("x")).withColumn("leaf", F.lit("x"))
+    assert sorted((r["rank"], r.vec_id, r.score) for r in K.search(two, two.where("vec_id = 20")).collect()) == [(1, 21, 2.0), (2, 21, 1.0)]
 
 
 def test_tree_order():

@@ -10,13 +10,19 @@ visits are widened until these queries reach ``recall``, and some more.
 Leaves are searched as blocks of a matrix product, the first few of each query
 before the others: of the others only rows come back that reach the last place
 so far.  Leaves with many vectors, or that many queries visit, are cut into
-lots, so that no block outgrows a task.  What is broadcast, the tree and the visits of the calibrated queries, is
-bounded by parameters.
+lots, so that no block outgrows a task.  What is broadcast, the tree and the
+visits of the calibrated queries, is bounded by parameters: leaves number a
+``SAMPLE_A_LEAF``-th of the sample at most, and beyond that grow in rows.
+
+Each row carries the number of leaves that queries visit and the recall that
+the calibrated queries reach with it.
 
 Vectors that are null, empty or zero, hold a null or a number that isn't
 finite, or are not as long as most are, take no part.  Equal scores go to the
-smaller id; repeated rows count once; rows without id take no part; an empty
-table gives no rows.
+smaller id; rows that repeat id and vector count once, and an id with several
+vectors takes part with each of them, as query and as candidate, but never
+finds itself; rows without id take no part; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import stored
 
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 20_000, 8, 500, 4_096
-CALIBRATED, RECALL, MARGIN = 100, 0.95, 1.1
+SAMPLE_ROWS, BRANCHES, LEAF_ROWS, SAMPLE_A_LEAF = 100_000, 8, 200, 20
+#: Queries that are calibrated, the share of their true neighbours that visits must reach, and visits beyond that.
+CALIBRATED, RECALL, MARGIN = 100, 0.97, 1.25
 #: Leaves that are searched first, to know what a row of the other ones must reach.
 FIRST = 4
 #: Vectors and queries in a block.
@@ -138,19 +145,19 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """query_id, rank, ``id_col``, score: the ``k`` best rows of ``table`` for each row of ``queries`` but itself."""
+    """query_id, rank, ``id_col``, score, leaves_visited, calibrated_recall: the ``k`` best rows of ``table`` for each row of ``queries`` but itself."""
     spark = table.sparkSession
     rows = stored(vectors(table, id_col, vector_col), "vectors")
     asked = stored(vectors(queries, id_col, vector_col).join(rows.limit(1).select(F.size("v").alias("n")), F.size("v") == F.col("n"), "left_semi"), "queries")
     count, n_asked = rows.count(), asked.count()
-    empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double, leaves_visited int, calibrated_recall double")
     if not count or not n_asked:
         return empty
     part = lambda n, of, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(min(1, n / of) * 1_000_000)
     sample = rows.where(part(sample_rows, count, 1)).toPandas().sort_values("id") if count > 1 else rows.toPandas()
     if sample.empty:
         sample = rows.limit(1).toPandas()
-    tree = Tree(np.stack(sample["v"].to_numpy()).astype(float), min(MOST_LEAVES, max(1, count // leaf_rows)))
+    tree = Tree(np.stack(sample["v"].to_numpy()).astype(float), max(1, min(-(-len(sample) // SAMPLE_A_LEAF), count // leaf_rows)))
 
     def placed(batches):
         import pyarrow as pa
@@ -180,6 +187,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     ranks = {int(i): {leaf: r for r, leaf in enumerate(tree.visits(v, tree.leaves))} for i, v in zip(own, matrix, strict=True)}
     needed = np.sort([ranks[q][leaf] + 1 for q, leaf in zip(true["query_id"], true["leaf"], strict=True)])
     visits = min(tree.leaves, int(np.ceil(MARGIN * needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))) if len(needed) else tree.leaves
+    reached = float((needed <= visits).mean()) if len(needed) else 1.0
 
     def routed(batches):
         import pyarrow as pa
@@ -216,9 +224,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
 
     first = stored(_top(found_in(ways.withColumn("leaf", F.slice("leaf", 1, FIRST)).withColumn("floor", F.lit(float("-inf")))), k).select("query_id", "rank", "id", "score"), "first")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    rest = ways.withColumn("leaf", F.slice("leaf", FIRST + 1, MOST_LEAVES)).where(F.size("leaf") > 0).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    rest = ways.withColumn("leaf", F.slice("leaf", FIRST + 1, tree.leaves)).where(F.size("leaf") > 0).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     found = first.select("query_id", "score", "id").union(found_in(rest))
-    return _top(found, k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return _top(found, k).select("query_id", "rank", F.col("id").alias(id_col), "score", F.lit(visits).alias("leaves_visited"), F.lit(reached).alias("calibrated_recall"))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
