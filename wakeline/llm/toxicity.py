@@ -2,21 +2,31 @@
 
 Three transducers are composed.  The first reads words and writes symbols:
 insults and threats with a weight, targets, negations, words of reported
-speech.  The second keeps a negation in mind for a few words and marks what it
-covers.  The third keeps reported speech and targets in mind for the clause.
-What comes out are matches (insult or threat, targeted or not; asserted,
-negated or reported) with weights; words outside a match count nothing.  A
-document's score is logistic in the strongest match of each kind and in the
-number of matches.
+speech, announcements of what someone will do.  The second keeps a negation or
+an announcement in mind for a few words and marks what it covers; an announced
+insult word is a threat.  The third keeps reported speech in mind for the rest
+of the clause, and targets for all of it: a match is targeted if its clause
+names a target before or behind it.  What comes out are matches (insult or
+threat, targeted or not; asserted, negated or reported) with weights; words
+outside a match count nothing.  A document's score is logistic in the strongest
+match of each kind and in the number of matches.
+
+Clauses end at ``. ! ? ; :`` and line ends and may be of any length: the
+grammar's state runs through them word by word, and only clauses that hold a
+word of the lexicon are read.
 
 Insult words and word beginnings, their weights and those of the kinds of match
 come from labelled documents: a seeded sample of about ``sample_rows`` rows of
-the training folds.  A greedy cover takes, time after time, the term that
-explains most toxic documents not yet explained, and few others.
+the training folds, of which the ``most_terms`` terms that tell toxic rows best
+are considered.  A greedy cover takes, time after time, the term that explains
+most toxic documents not yet explained, and few others.  Kinds of match that
+the sample doesn't hold keep their prior weights.
 
 Nulls count as empty texts, which score as texts without a match; ids that are
-null are in no held-out fold; a null label isn't learned from.  Without toxic
-labels the fixed words and default weights hold.  Whole texts are read.
+null are in no held-out fold; a null label isn't learned from; rows that repeat
+give repeated rows, and each counts where labels name it.  Without toxic labels
+the fixed words and default weights hold.  Whole texts are read; other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +53,8 @@ TARGETS = frozenset("you your yours he she they them him her this that these tho
 NEGATIONS = frozenset("not no never none nor isn aren wasn nicht kein keine nie pas jamais ni nunca jamás sin without".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted claims claimed told sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split())
 INSULTS = frozenset("idiot idiots moron morons imbecile scum loser losers stupid worthless pathetic disgusting trash clown".split())
-THREATS = frozenset("kill murder strangle stab behead lynch".split())
+THREATS = frozenset("kill murder strangle stab behead lynch töten umbringen tuer matar".split())
+ANNOUNCED = frozenset("will gonna shall ll werde werden wird vais va allons voy vamos".split())
 
 KINDS = tuple(f"{kind}{aim}{mood}" for kind in ("insult", "threat") for aim in ("", "+target") for mood in ("", "+negated", "+reported"))
 #: Weights of the kinds of match before any learning, of the number of matches, and of none at all.
@@ -74,25 +85,28 @@ class Transducer:
         return out
 
 
-def negation(reach: int = 3) -> Transducer:
+def scope(reach: int = 3, near: int = 2) -> Transducer:
+    """Negations reach over ``reach`` words, announcements over ``near``."""
+
     def step(left, symbol):
         kind, weight, marks = symbol
-        if kind == "negation":
-            return reach, symbol
-        if left and kind in ("insult", "threat"):
-            symbol = kind, weight, marks | {"negated"}
-        return max(0, left - 1), symbol
+        denied, announced = left
+        if kind in ("insult", "threat"):
+            symbol = "threat" if announced else kind, weight, marks | ({"negated"} if denied else set())
+        return (reach if kind == "negation" else max(0, denied - 1), near if kind == "announced" else max(0, announced - 1)), symbol
 
-    return Transducer(0, step)
+    return Transducer((0, 0), step)
 
 
 def context() -> Transducer:
+    """Marks what follows reported speech; its state knows whether the clause has named a target."""
+
     def step(seen, symbol):
         kind, weight, marks = symbol
         if kind in ("target", "report"):
             return seen | {kind}, symbol
-        if kind in ("insult", "threat"):
-            symbol = kind, weight, marks | ({"target"} & seen) | ({"reported"} if "report" in seen else set())
+        if kind in ("insult", "threat") and "report" in seen:
+            symbol = kind, weight, marks | {"reported"}
         return seen, symbol
 
     return Transducer(frozenset(), step)
@@ -116,7 +130,7 @@ class Model:
                 return state, ("insult", best, frozenset())
             if word in self.threats:
                 return state, ("threat", self.threats[word], frozenset())
-            kind = "target" if word in TARGETS else "negation" if word in NEGATIONS else "report" if word in REPORTS else ""
+            kind = "target" if word in TARGETS else "negation" if word in NEGATIONS else "report" if word in REPORTS else "announced" if word in ANNOUNCED else ""
             return state, (kind, 0.0, frozenset())
 
         return Transducer(0, step)
@@ -129,30 +143,37 @@ class Scorer:
     def __init__(self, model: Model):
         import ahocorasick
 
-        self.model, self.grammar = model, model.lexicon().then(negation()).then(context())
+        self.model, self.grammar = model, model.lexicon().then(scope()).then(context())
         self.search = ahocorasick.Automaton()
         for term in model.terms():
             self.search.add_word(term, len(term))
         self.search.make_automaton()
 
+    def matches(self, text: str, start: int, end: int):
+        """(kind, weight, mood) of a clause's matches, and whether the clause names a target."""
+        state, found = self.grammar.start, []
+        for word in WORD.finditer(text, start, end):
+            state, (kind, weight, marks) = self.grammar.step(state, word[0])
+            if kind in ("insult", "threat"):
+                found.append((kind, weight, "+negated" if "negated" in marks else "+reported" if "reported" in marks else ""))
+        return found, "target" in state[1]
+
     def features(self, text: str) -> np.ndarray:
         """The strongest match of each kind, log(1 + matches), 1."""
-        found, hits, done = np.zeros(len(PRIOR)), 0, -1
+        found, hits, done = np.zeros(len(PRIOR)), 0, 0
         found[-1] = 1
         text = text.lower()
         for last, size in self.search.iter(text):
             begin = last + 1 - size
-            if begin <= done or begin and text[begin - 1].isalpha():
+            if begin < done or begin and text[begin - 1].isalpha():
                 continue
-            ends = [x for x in (text.rfind(c, max(0, begin - 400), begin) for c in ".!?;:\n") if x >= 0]
-            end = CLAUSE_END.search(text, last + 1, begin + 2000)
-            done = min(end.start() if end else len(text), begin + 2000)
-            at = max(ends, default=max(0, begin - 400) - 1) + 1
-            for kind, weight, marks in self.grammar.run(WORD.findall(text, at, done)):
-                if kind in ("insult", "threat"):
-                    mood = "+negated" if "negated" in marks else "+reported" if "reported" in marks else ""
-                    k = KINDS.index(kind + "+target" * ("target" in marks) + mood)
-                    found[k], hits = max(found[k], weight), hits + 1
+            start = 1 + max(text.rfind(c, done, begin) for c in ".!?;:\n")
+            behind = CLAUSE_END.search(text, last + 1)
+            start, done = max(start, done), behind.start() if behind else len(text)
+            own, aimed = self.matches(text, start, done)
+            for kind, weight, mood in own:
+                k = KINDS.index(kind + "+target" * aimed + mood)
+                found[k], hits = max(found[k], weight), hits + 1
         found[-2] = math.log1p(hits)
         return found
 
@@ -207,7 +228,7 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, most_terms: int = TERMS) -> Model:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     total = known.count()
     share = int(min(1, sample_rows / max(1, total)) * 1_000_000)
@@ -225,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pd.DataFrame([(t, n, clean[t]) for t, n in toxic.items()] + [(t, 0, n) for t, n in clean.items() if t not in toxic], columns=["term", "toxic", "clean"])
 
     counts = sample.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    terms = [r.term for r in counts.where("toxic >= 3 AND toxic >= 2 * clean").orderBy(F.desc(F.expr("toxic - 2 * clean")), "term").limit(TERMS).collect()]
+    terms = [r.term for r in counts.where("toxic >= 3 AND toxic >= 2 * clean").orderBy(F.desc(F.expr("toxic - 2 * clean")), "term").limit(most_terms).collect()]
     number = {t: i for i, t in enumerate(terms)}
 
     def present(frames):
