@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import graph
-from wakeline.llm.common import stored, text_of
+from wakeline.llm.common import stored, text_of, with_group
 
 #: Bytes hashed at once, entries that a task gathers before it sends them to blocks, entries in a block, rows in a bucket.
 STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 19, 1_000_000, 2_000_000, 10_000
@@ -387,15 +387,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pivots += 1
         entries = open_.where("rank > u_rank").select("print", "n", "rank", "at", "gram").join(of, F.col("print") == F.col("node"), "left").select("print", "n", "rank", "at", "gram", F.coalesce("root", "print").alias("root"))
 
-    sets, texts = sets.join(of, sets["print"] == of["node"], "left").select("id", "n", "print", F.coalesce("root", "print").alias("root")), sets
-    least = sets.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    named = sets.where("n > 0").join(least, "root").select("id", "n", "least", "print")
-    empty = sets.where("n = 0").select("id", "n", F.col("id").alias("least"))
-    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id")]
-    if not counts:
-        return named.drop("print").union(empty).select(columns)
-    weights = stored(texts.where("n > 0").groupBy("print").agg(F.count("*").alias("weight")), "weights")
-    partners = stored(_link_counts(rows, of, weights, percent), "partners")
-    own = weights.join(partners, "print", "left").select("print", (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
-    named = named.join(own, "print").select("id", "n", "least", "n_links")
-    return named.union(empty.withColumn("n_links", F.lit(0).cast("long"))).select(*columns, "n_links")
+    # one row a distinct set; then components, whose smallest id is that of their sets' smallest ones
+    known = sets.groupBy("print").agg(F.first("n").alias("size"), F.min("id").alias("own"), F.count("*").alias("weight")).where("size > 0")
+    known = stored(known.join(of, known["print"] == of["node"], "left").select("print", "own", "weight", F.coalesce("root", "print").alias("root")), "known")
+    groups = stored(known.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("members")).where("members > 1"), "groups")
+    named = with_group(known, groups, ["root"], "members", known.count()).select("print", "weight", F.coalesce("least", "own").alias("least"))
+    if counts:
+        partners = stored(_link_counts(rows, of, known.select("print", "weight"), percent), "partners")
+        named = named.join(partners, "print", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).drop("partners")
+    out = with_group(sets.where("n > 0"), stored(named, "named"), ["print"], "weight", count)
+    empty = sets.where("n = 0").withColumn("least", F.col("id"))
+    more = ["n_links"] if counts else []
+    empty = empty.withColumn("n_links", F.lit(0).cast("long")) if counts else empty
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), *more]
+    return out.select(columns).union(empty.select(columns))
