@@ -136,6 +136,9 @@ def test_registry():
     class Plugin(base.Source):
         SOURCE_ID, capabilities = "plugin", base.Capabilities("plugin", "P")
 
+        def fetch_raw(self, spec):
+            return []
+
         def normalize_positions(self, spark, paths, day=None):
             return None
 
@@ -169,3 +172,52 @@ def test_download(tmp_path):
     with pytest.raises(urllib.error.HTTPError):
         base.download("http://x/g", str(tmp_path / "g"), wait=waits.append, get=missing)
     assert len(calls) == n + 1
+
+
+class Sent:
+    """Stands for the network: what was asked for, and answers by a part of the address."""
+
+    def __init__(self, **answers):
+        self.answers, self.asked = answers, []
+
+    def __call__(self, request):
+        import io
+
+        url = request if isinstance(request, str) else request.full_url
+        self.asked.append((url, {} if isinstance(request, str) else dict(request.headers), None if isinstance(request, str) else request.data))
+        return io.BytesIO(json.dumps(next(v(url) if callable(v) else v for k, v in self.answers.items() if k.replace("_", "-") in url)).encode())
+
+
+def test_addresses():
+    assert registry.get("dma").url(date(2024, 6, 15)) == "http://aisdata.ais.dk/2024/aisdk-2024-06-15.zip"
+    assert registry.get("dma").url(date(2023, 6, 15)) == "http://aisdata.ais.dk/2023/aisdk-2023-06.zip"
+    for source in ("aishub", "gfw"):
+        with pytest.raises(ValueError, match="api_key"):
+            registry.get(source).fetch_raw(base.FetchSpec(date(2024, 6, 15), "/nowhere"))
+
+
+def test_fetched_and_ingested(spark, tmp_path):
+    """Sources with a key fetch, are normalised and written; the key isn't kept."""
+    from wakeline.plans.api import Fleet
+
+    hub = Sent(aishub=[{"ERROR": False}, [{"MMSI": 219000001, "TIME": "2024-06-15 10:00:00 GMT", "LATITUDE": 55.0, "LONGITUDE": 11.0, "SOG": 1.0, "NAME": "X"}]])
+    event = lambda i, kind, mmsi: {"id": i, "type": kind, "start": "2024-06-15T01:00:00.000Z", "end": "2024-06-15T02:00:00.000Z", "position": {"lat": 1.0, "lon": 2.0}, "vessel": {"ssvid": str(mmsi), "name": f"N{mmsi}", "flag": "DNK", "type": "fishing"}}
+    pages = lambda url: {"entries": [event("a", "fishing", 219000001)], "nextOffset": 1000} if "offset=0" in url else {"entries": [event("b", "fishing", 219000002)], "nextOffset": None}
+    gfw = Sent(fishing_events=pages, port_visits={"entries": [event("c", "port_visit", 219000001)]}, events={"entries": []}, report={"entries": [{"date": "2024-06-15", "flag": "DNK", "geartype": "trawlers", "hours": 2.5, "lat": 1.0, "lon": 2.0}]})
+    options = {"aishub": {"api_key": "s3cret", "transport": {"get": hub}}, "gfw": {"api_key": "t0ken", "transport": {"get": gfw}, "bbox": (0.0, 0.0, 5.0, 5.0)}}
+    fleet = Fleet(spark, str(tmp_path / "s"), "2024-06-15", ["aishub", "gfw"], options=options)
+    made = fleet.download()
+    assert {(m.source, m.dataset): m.record_count for m in made} == {("aishub", "positions"): 1, ("aishub", "vessels"): 1, ("gfw", "events"): 3, ("gfw", "vessels"): 2, ("gfw", "fishing_effort"): 1}
+    assert fleet.fishing_effort().first().vessel_hours == 2.5 and {r.event_id for r in fleet.events().collect()} == {"a", "b", "c"}
+    assert all(h["Authorization"] == "Bearer t0ken" for _, h, _ in gfw.asked) and b"Polygon" in gfw.asked[-1][2]
+    assert "s3cret" in hub.asked[0][0] and "s3cret" not in str([m.raw_artifacts for m in made]) and "t0ken" not in str([m.raw_artifacts for m in made])
+
+
+def test_a_failed_day_is_raised_after_the_rest(spark, tmp_path):
+    from wakeline.plans.api import Fleet
+
+    hub = Sent(aishub=[])
+    fleet = Fleet(spark, str(tmp_path / "s"), "2024-06-15", ["gfw", "aishub"], options={"aishub": {"api_key": "k", "transport": {"get": hub}}})
+    with pytest.raises(ExceptionGroup, match="1 of 2"):
+        fleet.download()
+    assert [m.source for m in fleet.catalog.partitions("positions")] == ["aishub"]

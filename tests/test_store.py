@@ -72,7 +72,7 @@ def test_end_to_end(spark, tmp_path, capsys):
     assert fleet.sql("SELECT mmsi, count(*) AS n FROM positions GROUP BY mmsi").collect() == [(123456789, 2)]
     assert fleet.sql("SELECT count(*) FROM positions_fused").first()[0] == 2
     assert fleet.provenance()["can_rebuild_locally"] and fleet.quality_report().rows_dropped == 1
-    assert fleet.fusion_info()["total_rows_before_fusion"] == 2
+    assert [tuple(r) for r in fleet.fusion_info().collect()] == [("noaa", 0, "union", 1, 2, DAY, DAY)]
     assert [r.mmsi for r in fleet.latest_positions().collect()] == [123456789]
     assert Fleet(spark, root, DAY, bbox=(-74.05, 39, -73, 41)).positions().count() == 1
     assert Fleet(spark, root, DAY, mmsi=[1]).positions().count() == 0

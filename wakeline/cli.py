@@ -74,7 +74,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     elif a.command == "sql":
         fleet.sql(a.query).show(a.limit, False)
     elif a.command == "fusion":
-        print(json.dumps(fleet.fusion_info(), indent=1))
+        fleet.fusion_info().show(1000, False)
     elif a.command == "events":
         fleet.events(a.kind, a.min_confidence).show(a.limit, False)
     elif a.command == "provenance":

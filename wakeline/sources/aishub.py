@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from datetime import date
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.exprs import blank_to_null, nav_status
-from wakeline.sources.base import Capabilities, FetchSpec, Source, stamped, unless
+from wakeline.sources.base import Access, Capabilities, Delivery, FetchSpec, Holdings, RawArtifact, Source, download, stamped, unless
 from wakeline.sources.registry import register
 
 
@@ -36,10 +37,17 @@ def normalize(raw: DataFrame) -> DataFrame:
 @register
 class AISHub(Source):
     SOURCE_ID = "aishub"
-    capabilities = Capabilities("aishub", "AISHub", "Snapshots of a community of receivers.", supports_server_side_bbox=True, supports_incremental=True, auth_scheme="api_key", rate_limit="1 req/min", expected_latency="< 1 minute", license_requirements="Members share a receiver of their own", coverage="Global terrestrial (community receivers)", datasets_provided=("positions", "vessels"), delivery_format="REST API JSON", typical_daily_rows="50K-500K", known_quirks=("heading 511 is unknown", "IMO 0 or empty is unknown", "sizes are distances from the antenna"))
+    capabilities = Capabilities(
+        "aishub", "AISHub", Access(True, "one request a minute", "members share a receiver of their own"), Delivery("JSON", "under a minute", by_box=True, since=True),
+        Holdings("where members' receivers stand", ("positions", "vessels"), (50_000, 500_000), ("heading 511 is unknown", "IMO 0 or empty is unknown", "sizes are distances from the antenna")),
+    )
+
+    def url(self, key: str) -> str:
+        return f"https://data.aishub.net/ws.php?username={key}&format=1&output=json&compress=0"
 
-    def url(self, spec: FetchSpec) -> str:
-        return f"https://data.aishub.net/ws.php?username={spec.options['api_key']}&format=1&output=json&compress=0"
+    def fetch_raw(self, spec: FetchSpec) -> list[RawArtifact]:
+        """A snapshot of now, kept under the day; the key isn't noted."""
+        return [download(self.url(quote(self.key_of(spec))), f"{spec.raw_dir}/aishub-{spec.day:%Y-%m-%d}.json", noted=self.url("-"), **spec.options.get("transport", {}))]
 
     def normalize_positions(self, spark: SparkSession, paths: list[str], day: date | None = None) -> DataFrame:
         raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("source_file"), F.explode(records(F.col("value"))).alias("r"))

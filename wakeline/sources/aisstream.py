@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.exprs import blank_to_null, nav_status
-from wakeline.sources.base import Capabilities, unless
+from wakeline.sources.base import Access, Capabilities, Delivery, Holdings, unless
 from wakeline.sources.registry import register_streaming
 
-CAPABILITIES = Capabilities("aisstream", "aisstream.io", "Real-time global messages.", supports_streaming=True, supports_server_side_bbox=True, auth_scheme="api_key", expected_latency="real-time", license_requirements="Free API key", coverage="Global (terrestrial AIS receivers)", delivery_format="WebSocket JSON", typical_daily_rows="10M+", known_quirks=("heading 511 is unknown",))
+CAPABILITIES = Capabilities(
+    "aisstream", "aisstream.io", Access(True, terms="a free key"), Delivery("JSON over WebSocket", "none", live=True, by_box=True),
+    Holdings("where receivers on land reach", rows_a_day=(10_000_000, 100_000_000), beware=("heading 511 is unknown",)),
+)
 register_streaming(CAPABILITIES)
 
 MESSAGE = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.exprs import blank_to_null
-from wakeline.sources.base import Capabilities, FetchSpec, RawArtifact, Source, download, number, read_delimited, stamped, unless
+from wakeline.sources.base import Access, Capabilities, Delivery, FetchSpec, Holdings, RawArtifact, Source, download, number, read_delimited, stamped, unless
 from wakeline.sources.registry import register
 
 DAILY_START = date(2024, 3, 1)
@@ -48,17 +48,21 @@ def normalize(raw: DataFrame, day: date | None = None) -> DataFrame:
 @register
 class DMA(Source):
     SOURCE_ID = "dma"
-    capabilities = Capabilities("dma", "Danish Maritime Authority", "Daily and monthly archives of Danish waters.", supports_backfill=True, expected_latency="2-3 days", license_requirements="Open data (Danish open data license)", coverage="Danish waters / Western Baltic Sea", history_start="2006-03-01", datasets_provided=("positions", "vessels"), delivery_format="Semicolon-delimited CSV in ZIP (monthly pre-2024-03, daily after)", typical_daily_rows="1M-5M", known_quirks=("heading 511 is unknown", "IMO 0 or empty is unknown", "semicolons in old files, commas in new ones", "monthly files before March 2024"))
+    capabilities = Capabilities(
+        "dma", "Danish Maritime Authority", Access(terms="open data"), Delivery("CSV in ZIP, by day, by month before March 2024", "2-3 days", archive_from=date(2006, 3, 1)),
+        Holdings("around Denmark", ("positions", "vessels"), (1_000_000, 5_000_000), ("heading 511 is unknown", "IMO 0 or empty is unknown", "semicolons in old files, commas in new ones")),
+    )
 
     def url(self, day: date) -> str:
-        return f"http://aisdata.ais.dk/aisdk-{day:%Y-%m-%d}.zip" if day >= DAILY_START else f"http://aisdata.ais.dk/aisdk-{day:%Y-%m}.zip"
+        part = "%Y-%m-%d" if day >= DAILY_START else "%Y-%m"
+        return f"http://aisdata.ais.dk/{day.year}/aisdk-{day.strftime(part)}.zip"
 
     def fetch_raw(self, spec: FetchSpec) -> list[RawArtifact]:
         url = self.url(spec.day)
         return [download(url, f"{spec.raw_dir}/{url.rsplit('/', 1)[-1]}")]
 
     def available_dates(self):
-        return date(2006, 3, 1), date.today()
+        return self.capabilities.delivery.archive_from, date.today()
 
     def normalize_positions(self, spark: SparkSession, paths: list[str], day: date | None = None) -> DataFrame:
         monthly = day if day and day < DAILY_START else None

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.exprs import blank_to_null, nav_status
-from wakeline.sources.base import Capabilities, unless
+from wakeline.sources.base import Access, Capabilities, Delivery, Holdings, unless
 from wakeline.sources.registry import register_streaming
 
-CAPABILITIES = Capabilities("finland", "Fintraffic Digitraffic", "Real-time messages of Finnish waters.", supports_streaming=True, expected_latency="real-time", license_requirements="CC BY 4.0", coverage="Finnish waters and Baltic Sea", delivery_format="MQTT over WSS", datasets_provided=("positions", "vessels"), known_quirks=("locations count seconds, metadata milliseconds", "draught in tenths", "the vessel's number is in the topic alone"))
+CAPABILITIES = Capabilities(
+    "finland", "Fintraffic Digitraffic", Access(terms="CC BY 4.0"), Delivery("MQTT over WebSocket", "none", live=True),
+    Holdings("around Finland", ("positions", "vessels"), beware=("locations count seconds, metadata milliseconds", "draught in tenths", "the vessel's number is in the topic alone")),
+)
 register_streaming(CAPABILITIES)
 
 LOCATION = "time long, sog double, cog double, navStat int, heading double, lon double, lat double"

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import date
+import json
+from datetime import date, timedelta
+from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.schemas import EVENTS, FISHING_EFFORT, VESSELS
-from wakeline.sources.base import Capabilities, Source
+from wakeline.sources.base import Access, Capabilities, Delivery, FetchSpec, Holdings, RawArtifact, Source, download
 from wakeline.sources.registry import register
 
 # Fixed names of the API's kinds of event.
 KINDS = {"FISHING": "fishing", "ENCOUNTER": "encounter", "PORT_VISIT": "port_call", "LOITERING": "loitering"}
+# Fixed address, datasets and page size of the API.
+API, PAGE = "https://gateway.api.globalfishingwatch.org/v3", 1_000
+EVENT_DATASETS = ("fishing", "encounters", "port-visits", "loitering")
 _VESSEL = "id string, ssvid string, name string, flag string, type string"
 EVENT_JSON = f"id string, type string, start string, end string, position struct<lat:double,lon:double>, vessel struct<{_VESSEL.replace(' string', ':string').replace(', ', ',')}>, encounter struct<vessel:struct<ssvid:string>>"
 EFFORT_JSON = "date string, flag string, geartype string, hours double, lat double, lon double"
@@ -24,10 +29,11 @@ def _time(name: str):
 
 
 def read_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """A row an item, with file and place in it; documents are lists or single items."""
+    """A row an item, with file and place in it; documents are lists, single items, or pages with their items under entries."""
     raw = spark.read.option("wholetext", True).text(paths)
     kind = "array<struct<" + ",".join(_ddl(schema)) + ">>"
-    body = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    one = F.concat(F.lit("["), F.col("value"), F.lit("]"))
+    body = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.coalesce(F.get_json_object("value", "$.entries"), one))
     return raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json(body, kind)).alias("at", "item")).select("file", "at", "item.*")
 
 
@@ -68,7 +74,30 @@ def fishing_effort(raw: DataFrame) -> DataFrame:
 @register
 class GFW(Source):
     SOURCE_ID = "gfw"
-    capabilities = Capabilities("gfw", "Global Fishing Watch", "Derived events and fishing effort.", supports_backfill=True, supports_server_side_bbox=True, auth_scheme="api_key", rate_limit="100 req/min", expected_latency="3 days", license_requirements="Non-commercial, with attribution", coverage="Global", history_start="2020-01-01", datasets_provided=("events", "vessels", "fishing_effort"), delivery_format="REST API JSON", typical_daily_rows="10K-100K events", known_quirks=("no raw positions",))
+    capabilities = Capabilities(
+        "gfw", "Global Fishing Watch", Access(True, "100 requests a minute", "non-commercial, with attribution"), Delivery("JSON", "3 days", archive_from=date(2020, 1, 1), by_box=True),
+        Holdings("all seas", ("events", "vessels", "fishing_effort"), (10_000, 100_000), ("no raw positions",)),
+    )
+
+    def available_dates(self):
+        return self.capabilities.delivery.archive_from, date.today() - timedelta(days=3)
+
+    def fetch_raw(self, spec: FetchSpec) -> list[RawArtifact]:
+        """Pages of each kind of event, and the day's effort by cells, as files of the API's own JSON."""
+        headers = {"Authorization": f"Bearer {self.key_of(spec)}", "Content-Type": "application/json"}
+        more, first, last, found = spec.options.get("transport", {}), spec.day.isoformat(), (spec.day + timedelta(days=1)).isoformat(), []
+        for kind in EVENT_DATASETS:
+            offset = 0
+            while offset is not None:
+                query = urlencode({"datasets[0]": f"public-global-{kind}-events:latest", "start-date": first, "end-date": last, "limit": PAGE, "offset": offset})
+                found.append(download(f"{API}/events?{query}", f"{spec.raw_dir}/gfw_events_{kind}_{first}_{offset}.json", headers=headers, **more))
+                with open(found[-1].local_path, encoding="utf-8") as f:
+                    offset = json.load(f).get("nextOffset")
+        west, south, east, north = spec.options.get("bbox", (-180.0, -90.0, 180.0, 90.0))
+        ring = [[west, south], [east, south], [east, north], [west, north], [west, south]]
+        query = urlencode({"datasets[0]": "public-global-fishing-effort:latest", "spatial-resolution": "LOW", "temporal-resolution": "DAILY", "group-by": "GEARTYPE", "date-range": f"{first},{last}", "format": "JSON"})
+        body = json.dumps({"geojson": {"type": "Polygon", "coordinates": [ring]}}).encode()
+        return [*found, download(f"{API}/4wings/report?{query}", f"{spec.raw_dir}/gfw_effort_{first}.json", headers=headers, body=body, **more)]
 
     def normalize_positions(self, spark: SparkSession, paths: list[str], day: date | None = None) -> DataFrame:
         raise NotImplementedError("this source has no positions")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.exprs import blank_to_null, nav_status
-from wakeline.sources.base import Capabilities, FetchSpec, RawArtifact, Source, download, number, read_delimited, stamped, unless
+from wakeline.sources.base import Access, Capabilities, Delivery, FetchSpec, Holdings, RawArtifact, Source, download, number, read_delimited, stamped, unless
 from wakeline.sources.registry import register
 
 BASE_URL = "https://coast.noaa.gov/htdata/CMSP/AISDataHandler"
@@ -46,7 +46,10 @@ def normalize(raw: DataFrame) -> DataFrame:
 @register
 class NOAA(Source):
     SOURCE_ID = "noaa"
-    capabilities = Capabilities("noaa", "NOAA Marine Cadastre", "Daily archives of U.S. coastal waters.", supports_backfill=True, expected_latency="1 day", license_requirements="Public domain (U.S. Government work)", coverage="U.S. coastal waters", history_start="2009-01-01", datasets_provided=("positions", "vessels"), delivery_format="CSV-in-ZIP (all years)", typical_daily_rows="500K-2M", known_quirks=("heading 511 is unknown", "IMO0000000 is unknown", "vessel types are numbers"))
+    capabilities = Capabilities(
+        "noaa", "NOAA Marine Cadastre", Access(terms="public domain"), Delivery("CSV, one ZIP a day", "a day", archive_from=date(2009, 1, 1)),
+        Holdings("coasts of the United States", ("positions", "vessels"), (500_000, 2_000_000), ("heading 511 is unknown", "IMO0000000 is unknown", "vessel types are numbers")),
+    )
 
     def url(self, day: date) -> str:
         return f"{BASE_URL}/{day.year}/AIS_{day:%Y_%m_%d}.zip"
@@ -56,7 +59,7 @@ class NOAA(Source):
         return [download(url, f"{spec.raw_dir}/{url.rsplit('/', 1)[-1]}")]
 
     def available_dates(self):
-        return date(2009, 1, 1), date.today()
+        return self.capabilities.delivery.archive_from, date.today()
 
     def normalize_positions(self, spark: SparkSession, paths: list[str], day: date | None = None) -> DataFrame:
         return stamped(normalize(read_delimited(spark, paths, COLUMNS, ",")), self.SOURCE_ID)

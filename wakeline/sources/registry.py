@@ -23,7 +23,7 @@ def register(source: type[Source] | Source) -> type[Source] | Source:
 
 
 def register_streaming(capabilities: Capabilities) -> None:
-    _streaming[capabilities.source_id] = capabilities
+    _streaming[capabilities.source] = capabilities
 
 
 def get(source_id: str) -> Source:
@@ -64,7 +64,7 @@ def compare(*source_ids: str) -> dict[str, dict[str, str]]:
 
 def find(backfill: bool | None = None, streaming: bool | None = None, auth: bool | None = None, dataset: str | None = None) -> list[str]:
     def fits(c: Capabilities) -> bool:
-        return all((backfill in (None, c.supports_backfill), streaming in (None, c.supports_streaming), auth in (None, c.auth_scheme is not None), dataset is None or dataset in c.datasets_provided))
+        return all((backfill in (None, c.backfills), streaming in (None, c.delivery.live), auth in (None, c.access.key), dataset is None or dataset in c.holdings.datasets))
 
     return [s for s in registered() if fits(capabilities(s))]
 
