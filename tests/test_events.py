@@ -83,3 +83,21 @@ def test_same_ids_and_empty(spark):
     assert ids[0] == ids[1]
     for out in (E.detect_encounters(frame(spark, [])), E.detect_loitering(frame(spark, [])), port_calls(spark, []), crossings(spark, [])):
         assert out.count() == 0 and out.columns == EVENTS.columns and not EVENTS.validate(out)
+
+
+def test_encounters_near_borders_of_cells(spark):
+    """All pairs of a dense swarm, at the equator, in the north, near the pole and at 180 degrees, against a plain loop."""
+    import math
+    import random
+
+    from wakeline.operators import events as E
+
+    rng, rows = random.Random(3), []
+    for k, (lat, lon) in enumerate(((0.0, 0.0), (51.9, 4.0), (-70.0, 179.999), (89.5, 10.0))):
+        wide = 0.02 / max(0.005, math.cos(math.radians(lat)))
+        rows += [(1000 * k + i, 0, lat + rng.uniform(-0.02, 0.02), lon + rng.uniform(-wide, wide), 1.0) for i in range(60)]
+    config = E.EncounterConfig(max_distance_m=500.0)
+    got = {(r.mmsi_a, r.mmsi_b) for r in E.encounter_observations(frame(spark, rows), config).collect()}
+    metres = lambda a, b: math.hypot((a[2] - b[2]) * 111_320, (a[3] - b[3]) * 111_320 * math.cos(math.radians((a[2] + b[2]) / 2)))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and metres(a, b) <= 500}
+    assert got == want and len(want) > 50

@@ -127,3 +127,23 @@ def test_polygon_query_against_sql(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS FROM read_parquet('{sf}/events.parquet{'/*.parquet' if os.path.isdir(f'{sf}/events.parquet') else ''}')")
     assert sorted(map(tuple, out.collect())) == sorted(db.execute(ORACLES["region_polygon"]).fetchall())
+
+
+def test_many_polygons(spark):
+    """Beyond the folded size polygons are joined by cells, and give what the expression gives."""
+    from wakeline.operators import boundaries as B
+
+    rings = [B.Region(f"r{i}", 0.1 * i, 0.05 * i, 0.1 * i + 2, 0.05 * i + 3, ((0.1 * i, 0.05 * i), (0.1 * i + 2, 0.05 * i), (0.1 * i + 1, 0.05 * i + 3)) if i % 3 else ()) for i in range(B.FOLDED + 30)]
+    known = B.BoundaryRegistry(B.BoundaryDataset("many", "1", tuple(rings)))
+    points = spark.range(4000).select("id", (F.col("id") % 63 * 0.4).alias("lon"), (F.floor(F.col("id") / 63) * 0.25).alias("lat"), F.lit("x").alias("region_"))
+    points = points.union(spark.createDataFrame([(-1, None, 1.0, "x"), (-2, 0.1, 0.05, "x"), (-3, 1.1, 3.05, "x"), (-4, 1.0, 0.0, "x")], points.schema))
+    joined = {r.id: r.region for r in known.label(points, "many").collect()}
+    folded = {r.id: r.region for r in points.withColumn("region", known.region_of("many")).collect()}
+    assert joined == folded and len(joined) == 4004 and len(set(joined.values())) > 50
+
+
+def test_rows_without_a_vessel_do_not_meet(spark):
+    rows = [(None, t, 40.0, 1.0, 0.0) for t in range(200)] + [(200000001, t, 40.0, 1.0, 0.0) for t in range(102)]
+    out = qc.run_checks(frame(spark, rows))
+    assert out.where("mmsi IS NULL").groupBy("qc_flags").count().collect() == [(["mmsi_not_null"], 200)]
+    assert out.where(F.array_contains("qc_flags", "stale_position")).count() == 2

@@ -50,6 +50,9 @@ def test_compact(spark):
     assert [(r.mmsi, r.sog) for r in dedup.compact(df).collect()] == [(1, 1.0), (2, 9.0)]
     sinks.TableSink("landed_rows")(df, 0)
     assert spark.table("landed_rows").count() == 3
+    sinks.TableSink("landed_rows")(df, 1)
+    sinks.TableSink("landed_rows")(df, 1)
+    assert {r.batch_id: r["count"] for r in spark.table("landed_rows").groupBy("batch_id").count().collect()} == {0: 3, 1: 3}
     spark.sql("DROP TABLE landed_rows")
     with pytest.raises(ValueError):
         sinks.TableSink("x; drop")

@@ -57,6 +57,17 @@ def in_ring(x: Column, y: Column, ring: tuple[tuple[float, float], ...]) -> Colu
     return (crossed % 2 == 1) & ~touched
 
 
+def in_ring_column(x: Column, y: Column, ring: Column) -> Column:
+    """As ``in_ring`` for rings in a column, arrays of (x, y) that don't close."""
+    edges = F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("b"))
+    low, high = (lambda e, n: F.least(e["a"][n], e["b"][n])), (lambda e, n: F.greatest(e["a"][n], e["b"][n]))
+    level = lambda e: e["a"]["y"] == e["b"]["y"]
+    edge = lambda e: (y - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]
+    crossed = F.filter(edges, lambda e: ~level(e) & ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < edge(e)))
+    touched = F.exists(edges, lambda e: y.between(low(e, "y"), high(e, "y")) & F.when(level(e), x.between(low(e, "x"), high(e, "x"))).otherwise(x == edge(e)))
+    return (F.size(crossed) % 2 == 1) & ~touched
+
+
 class BoundaryRegistry:
     """Datasets by name, in order of registration; registering a name again replaces it."""
 
@@ -93,24 +104,26 @@ class BoundaryRegistry:
         return F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<dataset:string,region:string>>")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(d.name, i, r.name, *map(float, (r.west, r.south, r.east, r.north))) for d in self._datasets.values() for i, r in enumerate(d.regions)]
-        return spark.createDataFrame(rows, "dataset string, ord int, region string, west double, south double, east double, north double")
+        """A row a region; ``ring`` is empty for a box."""
+        flat = lambda ring: ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+        rows = [(d.name, i, r.name, *map(float, (r.west, r.south, r.east, r.north)), [tuple(map(float, p)) for p in flat(r.ring)]) for d in self._datasets.values() for i, r in enumerate(d.regions)]
+        return spark.createDataFrame(rows, "dataset string, ord int, region string, west double, south double, east double, north double, ring array<struct<x:double,y:double>>")
 
     def label(self, positions: DataFrame, dataset: str, name: str = "region") -> DataFrame:
         """``positions`` with the region of each point.
 
-        Larger datasets join on one-degree cells, which spreads them over the
-        cluster and keeps the join an equality join.
+        Datasets of more than ``FOLDED`` regions, boxes or polygons, meet points
+        by one-degree cells: a cell's regions are one row, so points are
+        neither multiplied nor grouped again.
         """
         known = self.get(dataset)
         if known is None or len(known.regions) <= FOLDED:
             return positions.withColumn(name, self.region_of(dataset))
-        if any(r.ring for r in known.regions):
-            raise ValueError("polygons fold into expressions; split the dataset or use boxes")
-        spark = positions.sparkSession
         degree = lambda a, b: F.explode(F.sequence(F.floor(a), F.floor(b)))
-        cells = self.frame(spark).where(F.col("dataset") == dataset).withColumn("_x", degree("west", "east")).withColumn("_y", degree("south", "north"))
-        rows = positions.withColumn("_row", F.monotonically_increasing_id())
-        points = rows.select("_row", "lat", "lon", F.floor("lon").alias("_x"), F.floor("lat").alias("_y"))
-        hits = points.join(cells, ["_x", "_y"]).where("lon BETWEEN west AND east AND lat BETWEEN south AND north").groupBy("_row").agg(F.min_by("region", "ord").alias(name))
-        return rows.join(hits, "_row", "left").drop("_row")
+        parts = self.frame(positions.sparkSession).where(F.col("dataset") == dataset).withColumn("_x", degree("west", "east")).withColumn("_y", degree("south", "north"))
+        cells = parts.groupBy("_x", "_y").agg(F.array_sort(F.collect_list(F.struct("ord", "region", "west", "south", "east", "north", "ring"))).alias("_regions"))
+        lat, lon = F.col("lat"), F.col("lon")
+        holds = lambda r: lon.between(r["west"], r["east"]) & lat.between(r["south"], r["north"]) & ((F.size(r["ring"]) == 0) | in_ring_column(lon, lat, r["ring"]))
+        rows = positions.withColumn("_x", F.floor("lon")).withColumn("_y", F.floor("lat")).join(cells, ["_x", "_y"], "left")
+        first = F.try_element_at(F.filter("_regions", holds), F.lit(1))
+        return rows.select(*positions.columns, first["region"].alias(name))

@@ -147,24 +147,37 @@ def detect_eez_crossings(positions: DataFrame, region: str = "region", config: E
     return _events(rows.withColumn("confidence_score", score), "eez_crossing", config, source, ("boundaries", "positions"))
 
 
+#: Height and width of a cell, in distances.
+CELL = 4
+
+
 def encounter_observations(positions: DataFrame, config: EncounterConfig | None = None) -> DataFrame:
     """Pairs of observations of two vessels that are near in time and space.
 
-    Rows meet by time bucket and latitude cell, both as equality keys: the
-    left side takes the neighbouring buckets, the right one the neighbouring
-    cells, so each pair meets once.  The cell is sound, as the difference in latitude alone never exceeds
-    the distance; it keeps busy hours from pairing a whole ocean.
+    Rows meet by time bucket and cell, all as equality keys: the left side
+    takes the neighbouring buckets, the right one the cells that its surroundings
+    touch, so each pair meets once.  A cell is ``CELL`` distances high, and as
+    wide at the latitude within it where degrees of longitude are shortest, so
+    no port and no parallel meets in one key as a whole.
     """
     config = config or EncounterConfig()
     rows = _with_source(positions).where("lat IS NOT NULL AND lon IS NOT NULL AND timestamp IS NOT NULL AND mmsi IS NOT NULL")
-    cell = F.floor(F.col("lat") * METRES_PER_DEGREE / max(config.max_distance_m, 1.0)).cast("long")
-    rows = rows.select("mmsi", "timestamp", "lat", "lon", "source", bucket(micros(F.col("timestamp")), config.time_bucket_s * 1_000_000).alias("bucket"), cell.alias("cell"))
+    rows = rows.select("mmsi", "timestamp", "lat", "lon", "source", bucket(micros(F.col("timestamp")), config.time_bucket_s * 1_000_000).alias("bucket"))
     rows = rows.dropDuplicates(["mmsi", "timestamp", "lat", "lon", "source"])
-    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    left = rows.withColumn("bucket", near("bucket")).select("bucket", "cell", *[F.col(c).alias(f"{c}_a") for c in ("mmsi", "timestamp", "lat", "lon", "source")])
-    right = rows.withColumn("cell", near("cell")).select("bucket", "cell", *[F.col(c).alias(f"{c}_b") for c in ("mmsi", "timestamp", "lat", "lon")])
+    # degrees, a little more than the distance, against rounding
+    reach = max(config.max_distance_m, 1.0) * 1.001 / METRES_PER_DEGREE
+    height = CELL * reach
+    shortest = F.least(F.cos(F.radians(F.col("y") * height - reach)), F.cos(F.radians((F.col("y") + 1) * height + reach)))
+    wide = F.when(shortest > 0.01, reach / shortest).otherwise(F.lit(360.0))
+    cell = lambda x, size: F.floor(x / size).cast("long")
+    touched = lambda x, by, size: F.explode(F.sequence(cell(x - by, size), cell(x + by, size)))
+    left = rows.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1))).withColumn("y", cell(F.col("lat"), height)).withColumn("x", cell(F.col("lon"), CELL * wide))
+    right = rows.withColumn("y", touched(F.col("lat"), reach, height)).withColumn("x", touched(F.col("lon"), wide, CELL * wide))
+    keys = ["bucket", "y", "x"]
+    left = left.select(*keys, *[F.col(c).alias(f"{c}_a") for c in ("mmsi", "timestamp", "lat", "lon", "source")])
+    right = right.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("mmsi", "timestamp", "lat", "lon")])
     metres = distance_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), (F.col("lat_a") + F.col("lat_b")) / 2)
-    pairs = left.join(right, ["bucket", "cell"]).where(F.col("mmsi_a") < F.col("mmsi_b")).withColumn("metres", metres).where(F.col("metres") <= config.max_distance_m)
+    pairs = left.join(right, keys).where(F.col("mmsi_a") < F.col("mmsi_b")).withColumn("metres", metres).where(F.col("metres") <= config.max_distance_m)
     # rows that share vessel and time stand for one observation: the first by position
     key = ["mmsi_a", "mmsi_b", "timestamp_a", "timestamp_b"]
     rest = ["lat_a", "lon_a", "source_a", "lat_b", "lon_b", "metres"]

@@ -19,9 +19,9 @@ def _ties(df: DataFrame) -> list[Column]:
 
 
 def latest_positions(positions: DataFrame) -> DataFrame:
-    """The last row of each vessel: one grouping, combined before its shuffle."""
+    """The last row of each vessel, in any order: one grouping, combined before its shuffle."""
     last = F.max_by(F.struct(*positions.columns), F.struct("timestamp", *_ties(positions)))
-    return positions.groupBy("mmsi").agg(last.alias("_row")).select("_row.*").orderBy("mmsi")
+    return positions.groupBy("mmsi").agg(last.alias("_row")).select("_row.*")
 
 
 def snapshot(positions: DataFrame, when: datetime | str | Column) -> DataFrame:
@@ -29,7 +29,7 @@ def snapshot(positions: DataFrame, when: datetime | str | Column) -> DataFrame:
     moment = when if isinstance(when, Column) else F.lit(when).cast("timestamp")
     off = F.abs(micros(F.col("timestamp")) - micros(moment))
     near = F.min_by(F.struct(*positions.columns), F.struct(off, F.col("timestamp"), *_ties(positions)))
-    return positions.groupBy("mmsi").agg(near.alias("_row")).select("_row.*").orderBy("mmsi")
+    return positions.groupBy("mmsi").agg(near.alias("_row")).select("_row.*")
 
 
 def vessel_history(mmsi: int, positions: DataFrame, tracks: DataFrame | None = None, events: DataFrame | None = None) -> dict[str, DataFrame]:

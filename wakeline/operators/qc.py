@@ -64,7 +64,7 @@ def run_checks(positions: DataFrame, checks: tuple[Check, ...] = BUILTIN, mode:
     rows as they came in; without it the check of time order is left out.  The
     score is 1, less 0.2 for each suspicious flag, and 0 for invalid rows; that
     formula is this library's own.  Checks of columns that are missing are
-    left out.
+    left out.  Checks of sequences pass rows without a vessel, which others flag.
     """
     if mode == "off":
         return positions.withColumn("qc_flags", F.array().cast("array<string>")).withColumn("qc_severity", F.lit("ok"))
@@ -72,14 +72,17 @@ def run_checks(positions: DataFrame, checks: tuple[Check, ...] = BUILTIN, mode:
     rows, extra = positions, []
     if any(c.sequence for c in use):
         order = [c for c in ("timestamp", "lat", "lon") if c in positions.columns]
-        line = Window.partitionBy("mmsi").orderBy(*order)
+        # rows without a vessel have no sequence; by themselves they don't meet in one task
+        rows = rows.withColumn("_alone", F.when(F.col("mmsi").isNull(), F.xxhash64(*order, F.rand(7))))
+        vessel = ["mmsi", "_alone"]
+        line = Window.partitionBy(*vessel).orderBy(*order)
         rows = rows.withColumn("_p", F.lag(F.struct("timestamp", "lat", "lon")).over(line))
         moved = lambda p: ~(F.col("lat").eqNullSafe(p["lat"]) & F.col("lon").eqNullSafe(p["lon"]))
-        rows = number_runs(rows, ["mmsi"], order, moved, ["lat", "lon"], "_stay")
-        rows = rows.withColumn("_run", F.row_number().over(Window.partitionBy("mmsi", "_stay").orderBy(*order)))
-        extra = ["_p", "_stay", "_run"]
+        rows = number_runs(rows, vessel, order, moved, ["lat", "lon"], "_stay")
+        rows = rows.withColumn("_run", F.row_number().over(Window.partitionBy(*vessel, "_stay").orderBy(*order)))
+        extra = ["_p", "_stay", "_run", "_alone"]
         if arrival:
-            rows = rows.withColumn("_arrived", F.lag("timestamp").over(Window.partitionBy("mmsi").orderBy(arrival)))
+            rows = rows.withColumn("_arrived", F.lag("timestamp").over(Window.partitionBy(*vessel).orderBy(arrival)))
             extra.append("_arrived")
     failed = lambda c: ~F.coalesce(c.ok(), F.lit(True))
     kinds = {k: [c for c in use if c.kind == k] for k in (HARD_INVALID, SUSPICIOUS)}

@@ -1,7 +1,13 @@
-"""Writing partitions: staged, checked, moved into place, then named in a manifest."""
+"""Writing partitions: staged, checked, moved into a folder of their own, then named in a manifest.
+
+Each commit has a new folder below its partition's, and what the manifest named
+before goes only after the manifest names the new one; whenever a writer stops,
+the manifest names whole files.
+"""
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +59,16 @@ class PartitionWriter:
             raise RuntimeError("committed already")
         names = self.validate()
         stats = statistics(self.files._spark.read.parquet(self.staging))
-        self.files.delete(self.target)
-        self.files.move(self.staging, self.target)
+        version = f"v-{uuid.uuid4().hex}"
+        self.files.move(self.staging, f"{self.target}/{version}")
         spec = DATASETS.get(self.dataset)
         fill = {"schema_version": spec.version if spec else self.dataset, "adapter_version": f"{self.source}/0.1.0", "transform_version": "normalize/0.1.0"}
-        made = Manifest(dataset=self.dataset, source=self.source, date=self.date, files=[f"{self.place}/{n}" for n in names], write_timestamp=datetime.now(UTC).isoformat(), write_status=COMMITTED, **(fill | stats | about))
+        made = Manifest(dataset=self.dataset, source=self.source, date=self.date, files=[f"{self.place}/{version}/{n}" for n in names], write_timestamp=datetime.now(UTC).isoformat(), write_status=COMMITTED, **(fill | stats | about))
         self.files.write(self.manifest_path, made.to_json())
         self.state = "committed"
+        for name, _, _ in self.files.names(self.target):
+            if name != version:
+                self.files.delete(f"{self.target}/{name}")
         return made
 
     def abort(self) -> None:

@@ -15,6 +15,7 @@ from wakeline.plans.store import write_partition
 from wakeline.schemas import POSITIONS
 from wakeline.streaming.dedup import KEY, compact
 
+OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 TRANSFORM = "promotion/landing-to-canonical/1.0.0"
 
 
@@ -30,7 +31,7 @@ class ParquetSink:
 
 
 class TableSink:
-    """Appends batches to a table of the catalog; a first batch makes it."""
+    """Batches in a table of the catalog, a partition a batch, so that one that is run again replaces itself; a first batch makes the table."""
 
     def __init__(self, table: str):
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", table):
@@ -38,7 +39,16 @@ class TableSink:
         self.table = table
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").saveAsTable(self.table)
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        if not spark.catalog.tableExists(self.table):
+            rows.limit(0).write.format("parquet").partitionBy("batch_id").saveAsTable(self.table)
+        mode, key = spark.conf.get(OVERWRITE), spark.table(self.table).columns
+        spark.conf.set(OVERWRITE, "dynamic")
+        try:
+            rows.select(*key).write.mode("overwrite").insertInto(self.table)
+        finally:
+            spark.conf.set(OVERWRITE, mode)
 
 
 def run_sink(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, interval_s: float = 10.0):
