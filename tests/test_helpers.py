@@ -101,12 +101,12 @@ def test_nav_status_of_all_rows(spark):
     from wakeline.queries import ORACLES, QUERIES
 
     sf = "/root/testdata/sf0.001"
-    out = [tuple(r) for r in QUERIES["nav_status_all"](spark, sf).collect()]
+    out = [tuple(r) for r in QUERIES["nav_status_text"](spark, sf).collect()]
     db = duckdb.connect()
     files = f"{sf}/events.parquet" + ("/*.parquet" if os.path.isdir(f"{sf}/events.parquet") else "")
     db.execute(f"CREATE VIEW events AS FROM read_parquet('{files}')")
     key = lambda r: r[0]
-    assert sorted(out, key=key) == sorted(db.execute(ORACLES["nav_status_all"]).fetchall(), key=key)
+    assert sorted(out, key=key) == sorted(db.execute(ORACLES["nav_status_text"]).fetchall(), key=key)
     assert len(out) == spark.read.parquet(f"{sf}/events.parquet").count() and len({t for _, t in out if t}) == 13
 
 

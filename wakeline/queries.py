@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.exprs import confidence_class, micros, nav_status
 from wakeline.operators import boundaries, density, events, fusion, helpers, qc, tracks
+from wakeline.schemas import DATASETS
 
 VIEW = """
     200000000 + user_id AS mmsi, {ts} AS timestamp,
@@ -101,11 +102,6 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(helpers.snapshot(positions(spark, sf_dir), "2024-01-15 12:00:00"))
 
 
-@_query(f"WITH {POS} SELECT {_COLUMNS} FROM p WHERE mmsi = 200000042")
-def vessel_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(helpers.vessel_history(200000042, positions(spark, sf_dir))["positions"])
-
-
 @_query(f"WITH {POS} SELECT mmsi, count(*) AS points, round(avg(sog) + 1.3e-8::DOUBLE, 6) AS mean_sog, max(sog) AS max_sog, epoch_us(min(timestamp)) AS first_seen, epoch_us(max(timestamp)) AS last_seen FROM p GROUP BY mmsi")
 def vessel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(helpers.vessel_stats(positions(spark, sf_dir)), "mean_sog")
@@ -151,10 +147,10 @@ def build_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(out, "mean_speed").withColumn("distance_m", F.round("distance_m", 3))
 
 
-@_query(_TRACK_SQL.replace("SELECT sha1", "SELECT count(*) AS tracks, CAST(sum(point_count) AS BIGINT) AS points FROM (SELECT sha1") + ")")
+@_query(_TRACK_SQL[: _TRACK_SQL.index("SELECT sha1")] + "SELECT s.event_id, s.source, s.mmsi, s.segment FROM s JOIN t USING (source, mmsi, segment) WHERE point_count >= 3 AND duration_s >= 300 AND distance_m >= 100")
 def track_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tracks.filter_segments(tracks.detect_boundaries(positions(spark, sf_dir), TRACKS), TRACKS)
-    return rows.groupBy("source", "mmsi", "segment").count().agg(F.count("*").alias("tracks"), F.sum("count").alias("points"))
+    return rows.select("event_id", "source", "mmsi", "segment")
 
 
 @_query()
@@ -274,6 +270,18 @@ def events_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "confidence_score", confidence_class(F.col("confidence_score")).alias("confidence"), F.col("p.source").alias("source_part"), "p.detector", F.col("p.detector_version").alias("version"), F.array_join("p.upstream_datasets", "+").alias("upstream"))
 
 
+@_query(f"""
+    WITH {POS}, t AS ({_TRACK_SQL}), e AS ({_LOITERING_SQL})
+    SELECT 'positions' AS dataset, event_id::VARCHAR AS id, epoch_us(timestamp) AS time FROM p WHERE mmsi = 200000042
+    UNION ALL SELECT 'tracks', track_id, start_time FROM t WHERE mmsi = 200000042 UNION ALL SELECT 'events', event_id, start_time FROM e WHERE mmsi = 200000042
+""")
+def vessel_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = positions(spark, sf_dir)
+    found = helpers.vessel_history(200000042, rows, tracks.build_tracks(rows, TRACKS), events.detect_loitering(rows, LOITERING))
+    show = lambda name, key, time: found[name].select(F.lit(name).alias("dataset"), F.col(key).cast("string").alias("id"), micros(F.col(time)).alias("time"))
+    return show("positions", "event_id", "timestamp").union(show("tracks", "track_id", "start_time")).union(show("events", "event_id", "start_time"))
+
+
 # --- density
 
 
@@ -346,25 +354,56 @@ def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.run_checks(rows).select("event_id", F.array_join("qc_flags", ",").alias("flags"), "qc_severity", F.round("confidence_score", 6).alias("confidence_score"))
 
 
-@_query(f"""
-    WITH {POS} SELECT 'sog_range' AS check_name, 'warning' AS severity, count(*) AS rows_checked, count(*) FILTER (sog * 12 NOT BETWEEN 0 AND 102.3) AS rows_flagged FROM p
-    UNION ALL SELECT 'mmsi_format', 'error', count(*), 0 FROM p
-""")
+#: Positions with faults of every kind; ts is left to be filled in.
+SPOILED = """
+    event_id, CASE WHEN event_id % 41 = 0 THEN 7 WHEN event_id % 43 = 0 THEN NULL WHEN user_id % 10 = 3 THEN 200000003 ELSE 200000000 + user_id END AS mmsi,
+    CASE WHEN event_id % 47 = 0 THEN NULL ELSE {ts} END AS timestamp,
+    CASE WHEN event_id % 31 = 0 THEN CAST(95.0 AS DOUBLE) WHEN event_id % 37 = 0 THEN NULL WHEN user_id % 10 = 3 THEN CAST(50.0 AS DOUBLE) ELSE CAST(50.0 AS DOUBLE) + (user_id % 10) * CAST(0.5 AS DOUBLE) + (event_id % 100) / CAST(100.0 AS DOUBLE) END AS lat,
+    CASE WHEN event_id % 29 = 0 THEN CAST(-190.0 AS DOUBLE) WHEN event_id % 59 = 0 THEN NULL WHEN user_id % 10 = 3 THEN CAST(2.0 AS DOUBLE) ELSE CAST(2.0 AS DOUBLE) + (event_id % 89) / CAST(100.0 AS DOUBLE) END AS lon,
+    value / CAST(25.0 AS DOUBLE) * 12 AS sog, CAST(event_id % 400 AS DOUBLE) AS cog, CAST(event_id % 380 AS DOUBLE) AS heading, CASE WHEN event_id % 53 = 0 THEN NULL ELSE 'noaa' END AS source
+"""
+#: Name, severity and failing condition of each check.
+_FAILS = (
+    ("lat_range", "error", "lat NOT BETWEEN -90 AND 90"), ("lon_range", "error", "lon NOT BETWEEN -180 AND 180"), ("sog_range", "warning", "sog NOT BETWEEN 0 AND 102.3::DOUBLE"), ("cog_range", "warning", "cog NOT BETWEEN 0 AND 360"),
+    ("heading_range", "warning", "heading NOT BETWEEN 0 AND 360"), *((f"{c}_not_null", "error", f"{c} IS NULL") for c in ("mmsi", "timestamp", "lat", "lon", "source")), ("mmsi_format", "error", "mmsi NOT BETWEEN 100000000 AND 999999999"),
+    ("implied_speed", "warning", "dt > 0 AND m / dt > 50.0 * 1852.0::DOUBLE / 3600.0"), ("stale_position", "warning", "run > 100"), ("timestamp_order", "warning", "timestamp < arrived"),
+)
+_CHECKED = f"""
+    x AS (SELECT {SPOILED.format(ts='ts')} FROM events),
+    l AS (SELECT *, lag(timestamp) OVER w AS pt, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, row_number() OVER w AS rn, lag(timestamp) OVER (PARTITION BY mmsi ORDER BY event_id) AS arrived
+          FROM x WHERE mmsi IS NOT NULL WINDOW w AS (PARTITION BY mmsi ORDER BY timestamp NULLS FIRST, lat NULLS FIRST, lon NULLS FIRST)),
+    d AS (SELECT *, sum(CASE WHEN rn = 1 OR lat IS DISTINCT FROM plat OR lon IS DISTINCT FROM plon THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY rn ROWS UNBOUNDED PRECEDING) AS stay,
+                 (epoch_us(timestamp) - epoch_us(pt)) / 1e6::DOUBLE AS dt, {_METRES.format(a='', b='p', at='lat')} AS m FROM l),
+    c AS (SELECT * EXCLUDE (pt, plat, plon, rn, stay), row_number() OVER (PARTITION BY mmsi, stay ORDER BY rn) AS run FROM d
+          UNION ALL BY NAME SELECT * FROM x WHERE mmsi IS NULL)
+"""
+
+
+def _spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[x.strip() for x in _split(SPOILED.format(ts="CAST(ts AS TIMESTAMP)"))])
+
+
+@_query(f"WITH {_CHECKED} " + " UNION ALL ".join(f"SELECT '{n}' AS check_name, '{k}' AS severity, count(*) AS rows_checked, count(*) FILTER ({fails}) AS rows_flagged FROM c" for n, k, fails in _FAILS))
 def qc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = positions(spark, sf_dir).withColumn("sog", F.col("sog") * 12)
-    checks = tuple(c for c in qc.BUILTIN if c.name in ("sog_range", "mmsi_format"))
-    return qc.check_counts(qc.run_checks(rows, checks), checks)
+    """All checks, each over rows of which some fail it."""
+    return qc.check_counts(qc.run_checks(_spoiled(spark, sf_dir), arrival="event_id"))
 
 
-@_query("SELECT event_id, CASE event_id % 17 WHEN 0 THEN 'Under way using engine' WHEN 1 THEN 'At anchor' WHEN 5 THEN 'Moored' WHEN 7 THEN 'Engaged in fishing' WHEN 15 THEN 'Not defined' END AS nav_status FROM events WHERE event_id % 17 IN (0, 1, 5, 7, 11, 12, 13, 15, 16)")
-def nav_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 17 IN (0, 1, 5, 7, 11, 12, 13, 15, 16)")
-    return rows.select("event_id", nav_status(F.col("event_id") % 17).alias("nav_status"))
+_LISTED = "list_filter([" + ", ".join(f"CASE WHEN {fails} THEN '{n}' END" for n, _, fails in _FAILS if n != "stale_position") + "], lambda x: x IS NOT NULL)"
+
+
+@_query(f"""
+    WITH {_CHECKED}, f AS (SELECT event_id, {_LISTED} AS flags, {" OR ".join(f"coalesce({fails}, FALSE)" for _, k, fails in _FAILS if k == "error")} AS bad, {" + ".join(f"coalesce(({fails})::INT, 0)" for n, k, fails in _FAILS if k == "warning" and n != "stale_position")} AS odd FROM c)
+    SELECT event_id, array_to_string(flags, ',') AS flags, CASE WHEN bad THEN 'error' WHEN odd > 0 THEN 'warning' ELSE 'ok' END AS qc_severity, round(CASE WHEN bad THEN 0 ELSE greatest(0, 1 - 0.2::DOUBLE * odd) END, 6) AS confidence_score FROM f
+""")
+def qc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags, severity and score of each row; without stale_position, where rows that tie can stand for one another."""
+    out = qc.run_checks(_spoiled(spark, sf_dir), tuple(c for c in qc.BUILTIN if c.name != "stale_position"), arrival="event_id")
+    return out.select("event_id", F.array_join("qc_flags", ",").alias("flags"), "qc_severity", F.round("confidence_score", 6).alias("confidence_score"))
 
 
 @_query("SELECT event_id, CASE event_id % 17 WHEN 0 THEN 'Under way using engine' WHEN 1 THEN 'At anchor' WHEN 2 THEN 'Not under command' WHEN 3 THEN 'Restricted maneuverability' WHEN 4 THEN 'Constrained by draught' WHEN 5 THEN 'Moored' WHEN 6 THEN 'Aground' WHEN 7 THEN 'Engaged in fishing' WHEN 8 THEN 'Under way sailing' WHEN 9 THEN 'Reserved for HSC' WHEN 10 THEN 'Reserved for WIG' WHEN 14 THEN 'AIS-SART' WHEN 15 THEN 'Not defined' END AS nav_status FROM events")
-def nav_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows and all texts, of which ``nav_status_text`` has some."""
+def nav_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", nav_status(F.col("event_id") % 17).alias("nav_status"))
 
 
@@ -479,12 +518,13 @@ def feed_finland(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
     WITH {POS} SELECT mmsi, arg_max(vessel_name, (timestamp, lat, lon)) FILTER (vessel_name IS NOT NULL) AS vessel_name, arg_max(ship_type, (timestamp, lat, lon)) AS ship_type,
-           epoch_us(min(timestamp)) AS first_seen, epoch_us(max(timestamp)) AS last_seen, 'noaa' AS source, 'noaa:positions' AS record_provenance FROM p WHERE source = 'noaa' GROUP BY mmsi
+           epoch_us(min(timestamp)) AS first_seen, epoch_us(max(timestamp)) AS last_seen, source, source || ':positions' AS record_provenance FROM p GROUP BY mmsi, source
 """)
 def vessel_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wakeline.sources.base import extract_vessels
 
-    out = extract_vessels(positions(spark, sf_dir).where("source = 'noaa'"), "noaa")
+    each = [extract_vessels(rows, source) for source, rows in _sources(spark, sf_dir).items()]
+    out = each[0].union(each[1]).union(each[2])
     return _flat(out.select("mmsi", "vessel_name", "ship_type", "first_seen", "last_seen", "source", "record_provenance"))
 
 
@@ -516,6 +556,97 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(rows.select("user_id", "start_time", "end_time", "points"))
 
 
+# --- the store: partitions written, named in manifests, and read again
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only in local mode."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="wakeline-store-")
+
+
+def _fleet(spark: SparkSession, sf_dir: str, **more):
+    """A store with a partition of positions for each source; those of dma were checked."""
+    from wakeline.plans.api import Fleet
+    from wakeline.plans.store import write_partition
+
+    root = _scratch(spark)
+    for source, rows in _sources(spark, sf_dir).items():
+        rows = qc.run_checks(rows.withColumn("sog", F.col("sog") * 12), mode="declared" if source == "dma" else "off")
+        write_partition(DATASETS["positions"].conform(rows.withColumn("record_provenance", F.lit(f"{source}:direct"))), root, "positions", source, "2024-01-15", checks_applied=["sog_range"] if source == "dma" else [])
+    return Fleet(spark, root, ("2024-01-10", "2024-01-20"), ["noaa", "dma", "aishub"], **more)
+
+
+_STORED = f"{POS}, c AS (SELECT * REPLACE (sog * 12 AS sog) FROM p)"
+_STORE_QC = f"""
+    l AS (SELECT *, lag(timestamp) OVER w AS pt, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM c WHERE source = 'dma' WINDOW w AS (PARTITION BY mmsi ORDER BY {ORDER})),
+    v AS (SELECT *, coalesce(sog NOT BETWEEN 0 AND 102.3 OR (pt < timestamp AND {_METRES.format(a='', b='p', at='lat')} / ((epoch_us(timestamp) - epoch_us(pt)) / 1e6::DOUBLE) > 50.0 * 1852.0::DOUBLE / 3600.0), FALSE) AS odd FROM l)
+"""
+
+
+@_query(f"WITH {POS} SELECT mmsi, epoch_us(timestamp) AS timestamp, lat, lon, sog * 12 AS sog, source, vessel_name, ship_type FROM p")
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that were written and are found again through manifests."""
+    out = _fleet(spark, sf_dir).catalog.scan("positions", None, "2024-01-15", "2024-01-15")
+    return _flat(out.select("mmsi", "timestamp", "lat", "lon", "sog", "source", "vessel_name", "ship_type"))
+
+
+@_query(f"WITH {POS} SELECT 'positions' AS dataset, source, 1::BIGINT AS partitions, count(*) AS rows, count(DISTINCT mmsi) AS vessels, '2024-01-15' AS date_from, '2024-01-15' AS date_to FROM p GROUP BY source")
+def store_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fleet(spark, sf_dir).inventory()
+
+
+@_query(f"""
+    WITH {_STORED}, {_STORE_QC}, w AS (SELECT count(*) FILTER (odd) AS odd FROM v)
+    SELECT source, count(*) AS record_count, count(DISTINCT mmsi) AS distinct_mmsi_count, epoch_us(min(timestamp)) AS min_timestamp, epoch_us(max(timestamp)) AS max_timestamp, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north,
+           count(*) - (CASE WHEN source = 'dma' THEN (SELECT odd FROM w) ELSE 0 END) AS rows_ok, CASE WHEN source = 'dma' THEN (SELECT odd FROM w) ELSE 0 END AS rows_warning FROM c GROUP BY source
+""")
+def store_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What manifests say of their partitions."""
+    made = _fleet(spark, sf_dir).catalog.manifests
+    rows = [(m.source, m.record_count, m.distinct_mmsi_count, m.min_timestamp, m.max_timestamp, *m.bbox, m.rows_ok, m.rows_warning) for m in made]
+    out = spark.createDataFrame(rows, "source string, record_count long, distinct_mmsi_count long, min_timestamp string, max_timestamp string, west double, south double, east double, north double, rows_ok long, rows_warning long")
+    return out.withColumns({c: micros(F.col(c).cast("timestamp")) for c in ("min_timestamp", "max_timestamp")})
+
+
+@_query(f"""
+    WITH {_STORED}, {_STORE_QC} SELECT 'positions' AS dataset, 3::BIGINT AS partitions, (SELECT count(*) FROM p) AS rows, (SELECT count(*) FROM p) - count(*) FILTER (odd) AS rows_ok, count(*) FILTER (odd) AS rows_warning, 0::BIGINT AS rows_error, 'sog_range' AS checks, TRUE AS mixed_versions, FALSE AS can_rebuild FROM v
+""")
+def store_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report and the provenance of a store, in one row."""
+    fleet = _fleet(spark, sf_dir)
+    r, p = fleet.quality_report(), fleet.provenance()
+    row = (r.dataset, r.partitions_scanned, r.total_rows, r.rows_ok, r.rows_warning, r.rows_error, ",".join(r.checks_applied), p["has_mixed_versions"], p["can_rebuild_locally"])
+    return spark.createDataFrame([row], "dataset string, partitions long, rows long, rows_ok long, rows_warning long, rows_error long, checks string, mixed_versions boolean, can_rebuild boolean")
+
+
+@_query(f"WITH {POS} SELECT source, count(*) AS n, count(DISTINCT mmsi) AS vessels, min(lat) AS south FROM p WHERE lat BETWEEN 50.5 AND 52.0 AND lon BETWEEN 2.5 AND 4.0 GROUP BY source")
+def store_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over the fused view of a store, within a box."""
+    fleet = _fleet(spark, sf_dir, bbox=(2.5, 50.5, 4.0, 52.0))
+    return fleet.sql("SELECT source, count(*) AS n, count(DISTINCT mmsi) AS vessels, min(lat) AS south FROM positions_fused GROUP BY source")
+
+
+@_query(f"WITH {POS}, u AS (SELECT DISTINCT mmsi, timestamp, lat, lon, source FROM p) SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS rows, count(DISTINCT mmsi) AS vessels FROM u WHERE source = 'dma' GROUP BY 1")
+def store_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A micro-batch that lands twice under one number, and its promotion into days."""
+    from wakeline.plans.catalog import Catalog
+    from wakeline.streaming.sinks import ParquetSink, promote_landing
+
+    root = _scratch(spark)
+    sink, rows = ParquetSink(f"{root}/landing"), _sources(spark, sf_dir)["dma"].drop("event_id")
+    for _ in range(2):
+        sink(rows, 0)
+    promote_landing(spark, f"{root}/store", f"{root}/landing", "dma")
+    held = Catalog(spark, f"{root}/store").frame()
+    return held.select("date", F.col("record_count").alias("rows"), F.col("distinct_mmsi_count").alias("vessels"))
+
+
 # --- maps
 
 
