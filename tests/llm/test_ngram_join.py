@@ -65,6 +65,18 @@ def test_against_brute_force(spark, monkeypatch, products):
     assert sorted(map(tuple, J.link(df).collect())) == brute(rows)
 
 
+def test_heavy_columns(spark, monkeypatch):
+    """Columns of many rows are dealt by row; what links stays the same."""
+    for name, value in {"HEAVY_ROWS": 4, "REPEATED": 1, "BLOCK_ENTRIES": 60, "BUCKET_ROWS": 20, "GATHERED": 300}.items():
+        monkeypatch.setattr(J, name, value)
+    rows = corpus(9, 70)
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, gram int")
+    read = J.row_sets(df, "doc_id", "text", 5)
+    heavy = J.Heavy(read.where("gram IS NOT NULL").select("gram", "n"), 1000, 50)
+    assert heavy.blocks > 2 and len(heavy.grams) > 10 and (heavy.rows > 4).all()
+    assert sorted(map(tuple, J.link(df).collect())) == brute(rows)
+
+
 def test_edges(spark):
     assert J.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(3, ""), (2, None), (5, "a b"), (4, "A  b"), (4, "A  b")]

@@ -4,7 +4,9 @@ Each document is a row of a sparse matrix, each distinct n-gram a column.
 
 1. Columns are dealt to blocks by hash.  A block counts the rows in each of its
    columns, drops columns with a single row, which no pair shares, and sends
-   the rest back to their rows.
+   the rest back to their rows.  Heavy columns, which the first pass over the
+   texts counts, are known to be shared: their entries are dealt by row, so
+   that no task holds such a column as a whole.
 2. A row of n columns can only pair with one that shares one of its
    ``n - ceil(t * n) + 1`` rarest columns, columns of its own first.  Most rows
    have that many of their own and leave here.
@@ -21,13 +23,17 @@ Each document is a row of a sparse matrix, each distinct n-gram a column.
    by matrices for common columns and pair by pair for rare ones.
 
 Equal sets are one row from the start, by a fingerprint of the sorted n-grams.
-Blocks hold bounded numbers of entries; rows with the same column spread over
-tasks by salting.  N-grams are 64-bit hashes of words, of which 48 bits and
-the block tell columns apart.
+A block's columns have ``BLOCK_ENTRIES`` entries on average; of E entries a
+column that isn't heavy has ``HEAVY_ROWS`` or E / ``HEAVY_COLUMNS`` rows at most,
+beside ``REPEATED`` in each ``GATHERED`` entries that a task counts at a time.
+N-grams are 64-bit hashes of words, of which 48 bits and the block tell columns
+apart: two columns of one document are mixed up with a chance of 2 ** -48 a pair
+at most, and what is lost or won by that is one column of an overlap.
 
 Nulls count as empty texts; texts without words have no n-grams and no links;
-repeated rows fall into one component and link with one another; an empty table
-gives no rows.
+repeated rows fall into one component and link with one another, whatever their
+ids; texts of any length are read whole; columns other than id and text are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ from wakeline.llm.common import stored, text_of, with_group
 
 #: Bytes hashed at once, entries that a task gathers before it sends them to blocks, entries in a block, rows in a bucket.
 STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 19, 1_000_000, 2_000_000, 10_000
+#: Rows that make a column heavy, heavy columns at most, and rows of a column among those that a task counts at once from which it is reported.
+HEAVY_ROWS, HEAVY_COLUMNS, REPEATED = 200_000, 1_000_000, 8
 #: Partners of a row that are verified against one copy of it; products an entry that are taken without further pivots.
 PARTNERS, PRODUCTS = 1_000, 200
 #: Rows and entries in a lot, columns in a matrix, products that are taken pair by pair at once; a column goes to a matrix if it has a pair for so many of all pairs.
@@ -122,18 +130,60 @@ def _texts(batches, column: int) -> Iterator:
 
 
 def row_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, n (size of the set), print (of the set)."""
+    """id, n (size of the set), print (of the set); and with gram set, n as the rows of a column that a task met often."""
 
     def run(batches):
         import pyarrow as pa
 
-        shingler = Shingler(words)
+        shingler, held, size = Shingler(words), [], 0
+        names = ["id", "n", "print", "gram"]
+
+        def often(held, kind):
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            grams, n = grams[n >= REPEATED], n[n >= REPEATED]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), kind), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(grams.view(np.int64))], names)
+
+        kind = None
         for batch, texts in _texts(batches, 1):
-            found = [(len(g), fingerprint(g)) for g in map(shingler, texts)]
+            found, kind = [], batch.schema.field(0).type
+            for grams in map(shingler, texts):
+                found.append((len(grams), fingerprint(grams)))
+                held.append(grams)
+                size += len(grams)
+                if size >= GATHERED:
+                    yield often(held, kind)
+                    held, size = [], 0
             n, prints = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64())], ["id", "n", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.nulls(len(n), pa.int64())], names)
+        if held:
+            yield often(held, kind)
+
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n long, print long, gram long")
+
 
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n long, print long")
+class Heavy:
+    """Columns of many rows: their hashes in order, the name and the number of rows that all tasks give them."""
+
+    def __init__(self, counts: DataFrame, entries: int, blocks: int):
+        least = max(HEAVY_ROWS, entries // HEAVY_COLUMNS)
+        # rows of all columns add up to the entries, so HEAVY_COLUMNS of them can be collected at most
+        held = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas()
+        grams, n = held["gram"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)
+        order = np.argsort(grams)
+        self.grams, self.rows = grams[order], np.minimum(n[order], (1 << 32) - 1).astype(np.uint32)
+        self.names = (self.grams & np.uint64(LOW48)) | (block_of(self.grams, blocks).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+        self.blocks = -(-int(n.sum()) // BLOCK_ENTRIES)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The place of each n-gram in the list, -1 for others."""
+        if not len(self.grams):
+            return np.full(len(grams), -1)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, at, -1)
+
+
+def block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -149,18 +199,22 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _column_blocks(docs: DataFrame, text_col: str, words: int, blocks: int) -> DataFrame:
-    """block, payload: rows with their columns in the block, many rows at once."""
+def _column_blocks(docs: DataFrame, text_col: str, words: int, blocks: int, heavy: Heavy) -> DataFrame:
+    """block, payload: rows with their columns in the block, many rows at once; heavy columns, by their place, are in blocks of rows behind the others."""
 
     def parts(held: dict[int, np.ndarray]):
         import pyarrow as pa
 
         prints, sizes = np.array(list(held), np.int64), np.array([len(g) for g in held.values()], np.int64)
         grams, row = np.concatenate(list(held.values())), np.repeat(np.arange(len(held)), sizes)
-        block = ((grams >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
+        block, place = block_of(grams, blocks), heavy.find(grams)
+        if heavy.blocks:
+            often = place >= 0
+            block[often] = blocks + (prints[row[often]].view(np.uint64) % np.uint64(heavy.blocks)).astype(np.int32)
+            grams = np.where(often, place.astype(np.uint64), grams)
+        order = np.argsort(block.astype(np.uint16) if blocks + heavy.blocks <= 1 << 16 else block, kind="stable")
         grams, row, block = grams[order], row[order], block[order]
-        border = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
+        border = np.flatnonzero(np.diff(block, prepend=-1, append=blocks + heavy.blocks))
         for a, b in zip(border, border[1:], strict=False):
             own, counts = np.unique(row[a:b], return_counts=True)
             low = np.ascontiguousarray(grams[a:b].view(np.uint8).reshape(-1, 8)[:, :6])
@@ -182,7 +236,7 @@ def _column_blocks(docs: DataFrame, text_col: str, words: int, blocks: int) -> D
     return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "block int, payload binary")
 
 
-def _shared_columns(blocks: DataFrame, buckets: int) -> DataFrame:
+def _shared_columns(entries: DataFrame, blocks: int, buckets: int, heavy: Heavy) -> DataFrame:
     """bucket, payload: of each row its columns that other rows have too, with their counts of rows."""
 
     def run(key, frame):
@@ -198,13 +252,16 @@ def _shared_columns(blocks: DataFrame, buckets: int) -> DataFrame:
         # the same set may come from several tasks
         once = np.repeat(first[row] == np.arange(len(prints)), counts)
         row, grams = np.repeat(row.astype(np.int32), counts)[once], grams[once]
-        order = np.argsort(grams, kind="stable")
-        grams, row = grams[order], row[order]
-        border = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-        length = np.diff(border, append=len(grams))
-        shared = np.repeat(length > 1, length)
-        grams, row, df = grams[shared], row[shared], np.repeat(length, length)[shared]
-        grams = grams | np.uint64((int(key[0]) & 0xFFFF) << 48)
+        if int(key[0]) >= blocks:
+            grams, df = heavy.names[grams.astype(np.int64)], heavy.rows[grams.astype(np.int64)]
+        else:
+            order = np.argsort(grams, kind="stable")
+            grams, row = grams[order], row[order]
+            border = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            length = np.diff(border, append=len(grams))
+            shared = np.repeat(length > 1, length)
+            grams, row, df = grams[shared], row[shared], np.repeat(length, length)[shared]
+            grams = grams | np.uint64((int(key[0]) & 0xFFFF) << 48)
         to = rows[row] % buckets
         order = np.lexsort((row, to))
         grams, row, df, to = grams[order], row[order], df[order], to[order]
@@ -215,7 +272,7 @@ def _shared_columns(blocks: DataFrame, buckets: int) -> DataFrame:
             out.append((int(to[a]), _pack(rows[own], sizes[first[own]], n.astype(np.int32), grams[a:b], df[a:b].astype(np.uint32))))
         return pd.DataFrame(out, columns=["bucket", "payload"])
 
-    return blocks.groupBy("block").applyInPandas(run, "bucket long, payload binary")
+    return entries.groupBy("block").applyInPandas(run, "bucket long, payload binary")
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -348,10 +405,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     ``counts``: with n_links, the number of other rows that the row is linked to.
     """
-    sets = stored(row_sets(docs, id_col, text_col, words), "sets")
+    read = stored(row_sets(docs, id_col, text_col, words), "sets")
+    sets = read.where("gram IS NULL").drop("gram")
     entries, count = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks, buckets = max(1, math.ceil(entries / BLOCK_ENTRIES)), max(1, math.ceil(count / BUCKET_ROWS))
-    shared = _shared_columns(_column_blocks(docs, text_col, words, blocks), buckets)
+    heavy = Heavy(read.where("gram IS NOT NULL").select("gram", "n"), entries, blocks)
+    shared = _shared_columns(_column_blocks(docs, text_col, words, blocks, heavy), blocks, buckets, heavy)
     rows = stored(_prefixes(shared, percent), "rows")
 
     # at: the column's place in the row's order, the rarest first; rank: rows with few columns of their own are in the middle of a group
