@@ -34,6 +34,8 @@ CHUNK = 4096
 HUGE_CHARS = 8_000_000
 #: Bytes of a chunk when texts are compared, leads of a group that meet in one step, bytes of leads that a task holds.
 COMPARED_BYTES, MEMBERS, HELD_BYTES = 65_536, 64, 64 << 20
+#: Texts that are hashed at once.
+BATCH_ROWS = 1_000
 DELETED = b" \t\n\v\f\r"
 
 
@@ -85,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, huge_chars: int =
         import pyarrow as pa
 
         hasher = Hasher()
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             out = []
             for text in batch.column(2).cast(pa.binary()):
                 data = text.as_py().translate(None, DELETED)
@@ -139,6 +141,8 @@ def compared(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, hug
     what is left of them, so that no group meets in one task as a whole.
     """
     members = fingerprints(docs, id_col, text_col, huge_chars, True).join(groups.select("bytes", "print"), ["bytes", "print"]).select("bytes", "print", "data")
+    # a stage of its own, so that no task needs two Python workers at a time
+    members = stored(members, "members")
 
     def leads(batches):
         import pyarrow as pa

@@ -131,8 +131,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in batches:
-            texts = batch.column(0)
+        for texts in (b.column(0).slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             found = pc.value_counts(pc.split_pattern(texts.filter(_plain(texts)), " ").flatten())
             yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
