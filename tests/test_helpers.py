@@ -87,7 +87,11 @@ def test_viz(spark):
     assert sorted(round(r.trip_progress, 3) for r in viz.prepare_trips(tracks).collect()) == [0.667, 1.0]
     assert viz.prepare_trips(tracks.drop("geometry_wkb")).count() == 0
     assert sum(r["count"] for r in viz.prepare_density(frame(spark, TWO_VESSELS)).collect()) == 9
+    drawn = tracks.where("geometry_wkb IS NOT NULL AND timestamp_offsets_ms IS NOT NULL").count()
+    few = viz.replay_html(tracks, most=1)
+    assert few.count('"path"') == 1 and f"{drawn - 1} shorter tracks are not drawn" in few
     page = viz.replay_html(tracks, "<x>")
+    assert page.count('"path"') == drawn > 1 and "not drawn" not in page
     assert "&lt;x&gt;" in page and '"mmsi": 111' in page
     assert all(w.startswith("LINESTRING") for _, w in viz.geometry_wkt(tracks))
     for bad in ((0, 50, 0, 40), (0, -91, 0, 0), (-181, 0, 0, 0)):

@@ -98,7 +98,7 @@ def zoom(spread: float) -> int:
 
 PAGE = """<!DOCTYPE html>
 <html><head><meta charset="utf-8"><title>{title}</title><style>body{{margin:0;background:#0b1622;color:#dde;font-family:sans-serif}}canvas{{display:block}}</style></head>
-<body><canvas id="c"></canvas><script>
+<body>{note}<canvas id="c"></canvas><script>
 const data = {data};
 const c = document.getElementById("c"), g = c.getContext("2d");
 c.width = innerWidth; c.height = innerHeight;
@@ -119,12 +119,14 @@ draw();
 """
 
 
-def replay_html(tracks: DataFrame, title: str = "Replay", most: int = 2_000) -> str:
-    """A page that draws tracks as time goes on; takes ``most`` tracks to the driver, the longest first."""
-    rows = tracks.where("geometry_wkb IS NOT NULL AND timestamp_offsets_ms IS NOT NULL").orderBy(F.desc("duration_s"), "track_id").limit(most)
-    trips = [{"path": decode_linestring(r.geometry_wkb), "times": list(r.timestamp_offsets_ms), "color": colour(r.mmsi), "mmsi": r.mmsi} for r in rows.collect()]
+def replay_html(tracks: DataFrame, title: str = "Replay", most: int | None = None) -> str:
+    """A page that draws tracks as time goes on, built on the driver: all that have geometry, or the ``most`` longest and how many it leaves out."""
+    drawn = tracks.where("geometry_wkb IS NOT NULL AND timestamp_offsets_ms IS NOT NULL").orderBy(F.desc("duration_s"), "track_id").select("geometry_wkb", "timestamp_offsets_ms", "mmsi")
+    left = 0 if most is None else max(0, drawn.count() - most)
+    rows = drawn if most is None else drawn.limit(most)
+    trips = [{"path": decode_linestring(r.geometry_wkb), "times": list(r.timestamp_offsets_ms), "color": colour(r.mmsi), "mmsi": r.mmsi} for r in rows.toLocalIterator()]
     points = [p for t in trips for p in t["path"]] or [(0.0, 0.0)]
     xs, ys = zip(*points, strict=True)
     span = max(max(xs) - min(xs), max(ys) - min(ys), 1e-3)
     data = {"trips": trips, "center": [(min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2], "span": span, "zoom": zoom(span), "longest": max([t["times"][-1] for t in trips] or [1])}
-    return PAGE.format(title=html.escape(title), data=json.dumps(data).replace("</", "<\\/"))
+    return PAGE.format(title=html.escape(title), note=f"<p>{left} shorter tracks are not drawn</p>" if left else "", data=json.dumps(data).replace("</", "<\\/"))
