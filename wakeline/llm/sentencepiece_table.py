@@ -37,8 +37,8 @@ TABLE_ROWS, KEPT_CHARS = 200_000, 200
 SEGMENT_CHARS = 500_000
 #: Words of the shared table, and the longest one.
 HEAD_ROWS, HEAD_CHARS = 200_000, 64
-#: Texts whose words are looked up at once.
-BATCH_ROWS = 2_000
+#: Texts whose words are looked up at once, and their bytes, one more text aside.
+BATCH_ROWS, BATCH_BYTES = 2_000, 2_000_000
 
 
 def public_model() -> str:
@@ -124,6 +124,16 @@ def _plain(texts):
     return pc.invert(odd)
 
 
+def _parts(texts, rows: int):
+    """Where each run of at most ``rows`` texts and about ``BATCH_BYTES`` bytes begins, and how many it has."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    full = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // BATCH_BYTES
+    starts = np.flatnonzero((np.diff(full, prepend=-1) > 0) | (np.arange(len(texts)) % rows == 0))
+    return zip(starts.tolist(), np.diff(starts, append=len(texts)).tolist(), strict=True)
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n: how often each distinct word occurs in the whole corpus."""
 
@@ -131,7 +141,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for texts in (b.column(0).slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
+        for texts in (b.column(0).slice(at, n) for b in batches for at, n in _parts(b.column(0), BATCH_ROWS)):
             found = pc.value_counts(pc.split_pattern(texts.filter(_plain(texts)), " ").flatten())
             yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
@@ -183,8 +193,8 @@ class Segmenter:
         others = words.filter(missing)
         new = pc.unique(others)
         own = pc.add(pc.index_in(others, value_set=new), pa.scalar(self.shared.num_rows, pa.int32()))
-        found = _segmented(self.table.model, new.to_pylist()).cast(self.shared.schema)
-        return pc.replace_with_mask(at, missing, own).to_numpy(), pa.concat_tables([self.shared, found]).combine_chunks()
+        found = _segmented(self.table.model, new.to_pylist()).select(self.shared.column_names).cast(self.shared.schema)
+        return pc.replace_with_mask(at, missing, own).to_numpy(), pa.concat_tables([self.shared, found])
 
     def _looked_up(self, texts):
         """For plain texts: offsets of their words, row numbers, the table, ids and running sums of ids."""
@@ -200,7 +210,7 @@ class Segmenter:
     @staticmethod
     def _column(table, name: str):
         column = table[name]
-        return column.chunk(0) if column.num_chunks else column.combine_chunks()
+        return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
 
     def _joined(self, table, name: str, at, offsets, mark: str):
         import pyarrow as pa
@@ -239,6 +249,8 @@ class Segmenter:
 def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, whole: bool) -> DataFrame:
     proto = _proto(model)
     shared = head(docs, proto, text_col)
+    if not whole:
+        shared = shared.drop_columns("ids")
 
     def run(batches):
         import pyarrow as pa
@@ -247,8 +259,8 @@ def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, whole: boo
         kinds = (pa.list_(pa.int32()), pa.string()) if whole else (pa.int64(), pa.string(), pa.string())
         names = ("ids", "decoded") if whole else ("n_tokens", "ids_sha256", "decoded_sha256")
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for at, n in _parts(batch.column(1), BATCH_ROWS):
+                part = batch.slice(at, n)
                 columns = zip(*segmenter.batch(part.column(1), whole), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, *names])
 
