@@ -75,3 +75,11 @@ def test_rows_with_repeated_and_null_ids(spark):
     taken = {r.row: r.taken for r in apportion.mix(frame(kept).withColumn("n", F.monotonically_increasing_id()), row_col="n").collect()}
     words = [w for r in stages.mixed(spark, frame(kept), SF).collect() for w in r.text.split()]
     assert {k: sum(w[0] == t[0] for w in words) for k, (_, t) in enumerate(kept)} == taken and len(set(words)) > 1500
+
+
+def test_long_near_copies(spark):
+    """The third stage takes texts with thousands of n-grams of their own beside those that they share."""
+    words = [f"w{k}" for k in range(13_004)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:10_604])), (3, " ".join(words[:5_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in stages.without_near_copies(spark, docs, SF).collect()) == [1, 3]

@@ -414,12 +414,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rows = stored(_prefixes(shared, percent), "rows")
 
     # at: the column's place in the row's order, the rarest first; rank: rows with few columns of their own are in the middle of a group
-    rank = F.struct((F.col("lone") * 1_000_000 / F.col("n")).cast("long").alias("share"), "print")
+    rank = F.struct((F.col("lone").cast("long") * 1_000_000 / F.col("n")).cast("long").alias("share"), "print")
     entries = rows.select("print", "n", F.col("lone").alias("_lone"), rank.alias("rank"), F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("_lone")).drop("_lone")
     entries, tested, links, pivots = entries.withColumn("root", F.col("print")), None, None, 0
     total = rows.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    # what follows the first common column bounds the overlap, and so do sizes
-    fits = f"least(n, m) * 100 >= {percent} * greatest(n, m) AND least(n - at, m - u_at) * {100 + percent} >= {percent} * (n + m)"
+    # what follows the first common column bounds the overlap, and so do sizes; products of sizes pass 32 bits
+    fits = f"least(n, m) * 100L >= {percent}L * greatest(n, m) AND least(n - at, m - u_at) * {100 + percent}L >= {percent}L * (0L + n + m)"
     while True:
         own = entries.groupBy("gram", "root").agg(F.min(F.struct("rank", "n", "root", "at")).alias("head"), F.count("*").alias("own"))
         heads = own.groupBy("gram").agg(F.min("head").alias("head"), F.count("*").alias("roots"), ((F.sum("own") * F.sum("own") - F.sum(F.col("own") * F.col("own"))) / 2).cast("long").alias("products"))
