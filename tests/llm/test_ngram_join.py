@@ -84,6 +84,25 @@ def test_edges(spark):
     assert out == [(2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4)]
 
 
+def test_long_near_copies(spark):
+    """A row with thousands of columns of its own that still may have a partner."""
+    words = [f"w{k}" for k in range(13_004)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:10_604])), (3, " ".join(words[:9_000]))]
+    out = sorted(map(tuple, J.link(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()))
+    assert out == [(1, 13_000, 1, 1), (2, 10_600, 1, 2), (3, 8_996, 1, 1)]
+
+
+def test_long_rows_are_bucketed_by_entries(spark, monkeypatch):
+    """Few rows of many columns fill several buckets."""
+    seen, shared_columns = [], J._shared_columns
+    monkeypatch.setattr(J, "_shared_columns", lambda entries, blocks, buckets, heavy: seen.append(buckets) or shared_columns(entries, blocks, buckets, heavy))
+    monkeypatch.setattr(J, "BUCKET_ENTRIES", 400, raising=False)
+    rows = corpus(10, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.link(df).collect())) == brute(rows)
+    assert seen == [-(-sum(len(shingles(t)) for _, t in rows) // 400)] and seen[0] > 1
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_counts_links(spark, monkeypatch, small):
     """Also those within a component, by rows and not by sets; small lots make all kinds of products."""

@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from wakeline.llm import graph
 from wakeline.llm.common import stored, text_of, with_group
 
-#: Bytes hashed at once, entries that a task gathers before it sends them to blocks, entries in a block, rows in a bucket.
-STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS = 1 << 19, 1_000_000, 2_000_000, 10_000
+#: Bytes hashed at once, entries that a task gathers before it sends them to blocks, entries in a block, rows and entries in a bucket.
+STRIDE, GATHERED, BLOCK_ENTRIES, BUCKET_ROWS, BUCKET_ENTRIES = 1 << 19, 1_000_000, 2_000_000, 10_000, 6_000_000
 #: Rows that make a column heavy, heavy columns at most, and rows of a column among those that a task counts at once from which it is reported.
 HEAVY_ROWS, HEAVY_COLUMNS, REPEATED = 200_000, 1_000_000, 8
 #: Partners of a row that are verified against one copy of it; products an entry that are taken without further pivots.
@@ -408,7 +408,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     read = stored(row_sets(docs, id_col, text_col, words), "sets")
     sets = read.where("gram IS NULL").drop("gram")
     entries, count = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks, buckets = max(1, math.ceil(entries / BLOCK_ENTRIES)), max(1, math.ceil(count / BUCKET_ROWS))
+    blocks, buckets = max(1, math.ceil(entries / BLOCK_ENTRIES)), max(1, math.ceil(count / BUCKET_ROWS), math.ceil(entries / BUCKET_ENTRIES))
     heavy = Heavy(read.where("gram IS NOT NULL").select("gram", "n"), entries, blocks)
     shared = _shared_columns(_column_blocks(docs, text_col, words, blocks, heavy), blocks, buckets, heavy)
     rows = stored(_prefixes(shared, percent), "rows")
