@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators.qc import QualityReport
@@ -52,6 +52,16 @@ class Manifest:
 
 def statistics(df: DataFrame) -> dict:
     """Counts, time range and box of a partition, in one pass."""
+    return _told(df.agg(*_sums(df)).first().asDict())
+
+
+def statistics_by(df: DataFrame, key: str) -> dict[str, dict]:
+    """The statistics of each value of ``key``, of all in one pass."""
+    rows = [r.asDict() for r in df.groupBy(F.col(key).cast("string").alias("_key")).agg(*_sums(df)).collect()]
+    return {r.pop("_key"): _told(r) for r in rows}
+
+
+def _sums(df: DataFrame) -> list[Column]:
     time = next((c for c in ("timestamp", "start_time", "last_seen") if c in df.columns), None)
     sums = [F.count("*").alias("record_count")]
     sums.append((F.count_distinct("mmsi") if "mmsi" in df.columns else F.lit(0)).alias("distinct_mmsi_count"))
@@ -62,7 +72,10 @@ def statistics(df: DataFrame) -> dict:
         sums.append(F.array(box(F.min, "lon", 180.0), box(F.min, "lat", 90.0), box(F.max, "lon", 180.0), box(F.max, "lat", 90.0)).alias("bbox"))
     if "qc_severity" in df.columns:
         sums += [F.count_if(F.col("qc_severity") == s).alias(f"rows_{s}") for s in ("ok", "warning", "error")]
-    row = df.agg(*sums).first().asDict()
+    return sums
+
+
+def _told(row: dict) -> dict:
     if row.get("bbox") and row["bbox"][0] is None:
         row["bbox"] = None
     return row if "rows_ok" in row else row | {"rows_ok": row["record_count"]}

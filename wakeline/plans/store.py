@@ -7,12 +7,13 @@ the manifest names whole files.
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.plans.catalog import COMMITTED, Manifest, statistics
+from wakeline.plans.catalog import COMMITTED, Manifest, statistics, statistics_by
 from wakeline.plans.fs import Files
 from wakeline.schemas import DATASETS
 
@@ -25,6 +26,13 @@ def layer(dataset: str) -> str:
     return "derived" if dataset in DERIVED else "canonical"
 
 
+def _in_order(df: DataFrame, dataset: str, *first: str) -> DataFrame:
+    """Ranges of the first keys: files are sorted among and within themselves, whatever the size."""
+    spec = DATASETS.get(dataset)
+    order = [*first, *[c for c in (spec.sort if spec else ()) if c in df.columns]]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+
+
 class PartitionWriter:
     """One partition of one dataset; its manifest, written last, makes it visible."""
 
@@ -39,11 +47,15 @@ class PartitionWriter:
         """Stage the rows in the dataset's order; fails if the partition is being staged already."""
         if self.files.exists(self.staging):
             raise FileExistsError(f"{self.staging} is there already")
-        spec = DATASETS.get(self.dataset)
-        order = [c for c in (spec.sort if spec else ()) if c in df.columns]
-        # ranges of the first key: files are sorted among and within themselves, whatever the size
-        rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        rows.write.options(**OPTIONS).option("maxRecordsPerFile", FILE_ROWS).parquet(self.staging)
+        _in_order(df, self.dataset).write.options(**OPTIONS).option("maxRecordsPerFile", FILE_ROWS).parquet(self.staging)
+        self.state = "staged"
+        return self
+
+    def take(self, folder: str) -> PartitionWriter:
+        """Stage a folder of files that were written in order already."""
+        if self.files.exists(self.staging):
+            raise FileExistsError(f"{self.staging} is there already")
+        self.files.move(folder, self.staging)
         self.state = "staged"
         return self
 
@@ -53,12 +65,12 @@ class PartitionWriter:
             raise ValueError(f"{self.place}: nothing whole was staged")
         return [n for n, _ in names]
 
-    def commit(self, **about) -> Manifest:
-        """Replace the partition by what is staged, then write its manifest."""
+    def commit(self, stats: dict | None = None, **about) -> Manifest:
+        """Replace the partition by what is staged, then write its manifest; ``stats`` are its statistics, if known."""
         if self.state == "committed":
             raise RuntimeError("committed already")
         names = self.validate()
-        stats = statistics(self.files._spark.read.parquet(self.staging))
+        stats = statistics(self.files._spark.read.parquet(self.staging)) if stats is None else stats
         version = f"v-{uuid.uuid4().hex}"
         self.files.move(self.staging, f"{self.target}/{version}")
         spec = DATASETS.get(self.dataset)
@@ -86,9 +98,32 @@ def write_partition(df: DataFrame, root: str, dataset: str, source: str, date: s
         raise
 
 
+def write_partitions(df: DataFrame, root: str, dataset: str, source: str, day: str, **about) -> list[Manifest]:
+    """A partition for each value of ``day``, a column of ISO dates that isn't stored: all are staged and counted at once, then committed one by one."""
+    spark, files = df.sparkSession, Files(df.sparkSession, root)
+    staged = files.at("_staging", f"days-{uuid.uuid4().hex}", layer(dataset), dataset, f"source={source}")
+    made = []
+    try:
+        _in_order(df, dataset, day).write.options(**OPTIONS).option("maxRecordsPerFile", FILE_ROWS).partitionBy(day).parquet(staged)
+        found = {n.split("=", 1)[1]: f"{staged}/{n}" for n, _, folder in files.names(staged) if folder and n.startswith(f"{day}=")}
+        stats = statistics_by(spark.read.parquet(staged), day) if found else {}
+        for iso in sorted(found):
+            writer = PartitionWriter(spark, root, dataset, source, iso).take(found[iso])
+            try:
+                made.append(writer.commit(stats[iso], **about))
+            except Exception:
+                writer.abort()
+                raise
+    finally:
+        files.delete(staged.split(f"/{layer(dataset)}/{dataset}/source=")[0])
+    return made
+
+
 def cleanup_stale_staging(spark: SparkSession, root: str) -> list[str]:
     """Delete what writers left behind; the partitions it was meant for."""
     files = Files(spark, root)
-    found = sorted({p.rsplit("/", 1)[0].split("/_staging/", 1)[1] for p in files.walk(files.at("_staging"), "") if "/date=" in p})
+    staged = {p.rsplit("/", 1)[0].split("/_staging/", 1)[1] for p in files.walk(files.at("_staging"), "")}
+    # days that were staged together lie in a folder of their own
+    found = sorted({re.sub(r"/[^/=]*=(?=[^/]*$)", "/date=", re.sub(r"^days-[0-9a-f]+/", "", p)) for p in staged if p.count("=") > 1})
     files.delete(files.at("_staging"))
     return found

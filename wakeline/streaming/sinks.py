@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wakeline.plans.catalog import Catalog, Manifest
 from wakeline.plans.fs import Files
-from wakeline.plans.store import write_partition
+from wakeline.plans.store import write_partitions
 from wakeline.schemas import POSITIONS
 from wakeline.streaming.dedup import KEY, compact
 
@@ -61,17 +61,21 @@ def promote_landing(spark: SparkSession, root: str, landing: str, source: str, c
     """Landed positions into the store's partitions, by day.
 
     Rows that a partition holds already stay in it; one row is kept of those
-    with equal vessel, time and place.
+    with equal vessel, time and place.  All days are written by one job, so
+    what has landed is read a fixed number of times.
     """
     rows = spark.read.option("recursiveFileLookup", True).parquet(landing)
     rows = rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp")).where("timestamp IS NOT NULL")
     stamped = rows.withColumns({"source": F.lit(source), "source_file": F.lit(landing), "ingest_id": F.lit(uuid.uuid4().hex), "qc_severity": F.lit("ok"), "record_provenance": F.lit(f"{source}:stream")})
-    landed, catalog, made = POSITIONS.conform(stamped), Catalog(spark, root), []
-    for (day,) in sorted(tuple(r) for r in landed.select(F.to_date("timestamp").alias("d")).distinct().collect()):
-        iso = day.isoformat()
-        own = catalog.scan("positions", [source], iso, iso).unionByName(landed.where(F.to_date("timestamp") == F.lit(day)))
-        unique = own.dropDuplicates(list(KEY))
-        made.append(write_partition(unique, root, "positions", source, iso, transform_version=TRANSFORM))
+    landed, catalog = POSITIONS.conform(stamped).withColumn("_day", F.to_date("timestamp").cast("string")), Catalog(spark, root)
+    days = {r[0] for r in landed.select("_day").distinct().collect()}
+    held = [catalog.files.at(f) for m in catalog.partitions("positions", source) if m.date in days for f in m.files]
+    if held:
+        # a stored row stays in its partition, whatever its time
+        stored = spark.read.schema(POSITIONS.struct).option("recursiveFileLookup", True).parquet(*held)
+        day = F.regexp_extract("_metadata.file_path", r".*/date=([^/]+)/", 1)
+        landed = stored.select("*", day.alias("_day")).unionByName(landed)
+    made = write_partitions(landed.dropDuplicates(["_day", *KEY]), root, "positions", source, "_day", transform_version=TRANSFORM) if days else []
     if cleanup:
         files = Files(spark, landing)
         files.delete(files.root)
